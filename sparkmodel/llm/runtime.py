@@ -8,7 +8,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +62,29 @@ def drop_folder(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def put_bytes(path: str, data: bytes) -> None:
+    """Write one file of the shared folder, from the driver or an executor."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    store.create_dir(inner.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(inner) as f:
+        f.write(data)
+
+
+def get_bytes(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(inner) as f:
+        return f.read()
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", right_rows: int | None = None) -> DataFrame:
     """Join a large left side to a right side with one row per key, whatever the skew of the keys on the left.
 
-    A right side of at most BROADCAST_ROWS counted rows is broadcast. A larger one is joined by a shuffle with a
-    salt only for hot keys is not needed: adaptive execution splits the partitions of hot keys on the left, which is
-    sound because each of its rows meets one right row.
+    A right side of at most BROADCAST_ROWS counted rows is broadcast. A larger one is joined by a shuffle, in which
+    adaptive execution splits the partitions of hot keys on the left: each of its rows meets one right row.
     """
     rows = right.count() if right_rows is None else right_rows
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, keys, how)
-
-
-def context(spark: SparkSession) -> SparkContext:
-    return spark.sparkContext
