@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkmodel.llm import toxicity
 from sparkmodel.llm.decontamination import find_contamination
+from sparkmodel.llm.mixing import mix_sources, mix_sql
 from sparkmodel.llm.simhash import simhash_groups
 from sparkmodel.llm.token_counts import token_counts
+from sparkmodel.llm.url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a network fitted to labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -38,14 +45,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the URL of every page."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
         "op8_simhash": op8_simhash,
+        "op10_url_filter": op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mix_sql(),
+    }
