@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkmodel.llm import toxicity
 from sparkmodel.llm.decontamination import find_contamination
 from sparkmodel.llm.mixing import mix_sources, mix_sql
+from sparkmodel.llm.secrets import find_secrets
 from sparkmodel.llm.simhash import simhash_groups
 from sparkmodel.llm.token_counts import token_counts
 from sparkmodel.llm.url_filter import judge_urls
@@ -24,6 +25,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in every document. A document stands for a repository and its source for the owner."""
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a network fitted to labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": op2_mixing,
+        "op3_secrets": op3_secrets,
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
