@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkmodel.llm import toxicity
 from sparkmodel.llm.decontamination import find_contamination
+from sparkmodel.llm.line_dedup import remove_repeated_lines
 from sparkmodel.llm.mixing import mix_sources, mix_sql
 from sparkmodel.llm.secrets import find_secrets
 from sparkmodel.llm.simhash import simhash_groups
@@ -46,6 +47,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the chunks of lines that documents with smaller ids hold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_lines(docs, report=True)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents."""
     return simhash_groups(table(spark, sf_dir, "documents"))
@@ -63,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_decontamination": op5_decontamination,
         "op6_token_counts": op6_token_counts,
+        "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
         "op10_url_filter": op10_url_filter,
     }

@@ -95,12 +95,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Prefix:
+    """Hashes of any slices of data, from prefix sums of byte * BASE**position."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=self.sums[1:])
+        self.inverse = powers(BASE_INVERSE, len(data) + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each data[start:end]."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], from prefix sums of byte * BASE**position."""
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(BASE_INVERSE, len(data) + 1)[starts])
+    return Prefix(data).hashes(starts, ends)
+
+
+def winnow(values: np.ndarray, window: int, group: np.ndarray) -> np.ndarray:
+    """Marks each value that is the smallest (of equals the last) of some `window` adjacent ones of its group.
+
+    Whether a value is marked depends on its neighbours alone, and of any `window` neighbours one is marked.
+    """
+    out = np.zeros(len(values), bool)
+    n = len(values) - window + 1
+    if n <= 0:
+        return out
+    best, least = np.arange(n), values[:n].copy()
+    for step in range(1, window):
+        near = values[step : step + n]
+        lower = near <= least
+        least = np.where(lower, near, least)
+        best[lower] = np.flatnonzero(lower) + step
+    out[best[group[:n] == group[window - 1 :]]] = True
+    return out
 
 
 def owner(starts: np.ndarray, positions: np.ndarray) -> np.ndarray:
