@@ -77,6 +77,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return at_edge.unionByName(others).select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", taken.alias("taken"))
 
 
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The documents that the mix takes, with their columns and size, source_size, target, taken.
+
+    Documents it takes no words of are left out. Rows that repeat id, source and size are taken alike (as the one of
+    them that is taken least). A column of docs that has one of the four names is replaced.
+    """
+    mixed = mix_sources(docs, id_col, text_col, source_col, weights, max_epochs, seed).toDF("__id", "__source", "size", "source_size", "target", "taken")
+    mixed = mixed.groupBy("__id", "__source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.min("taken").alias("taken")).where("taken > 0")
+    new = ["size", "source_size", "target", "taken"]
+    kept = [c for c in docs.columns if c not in new]
+    rows = docs.select(*[docs[f"`{c}`"] for c in kept], F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias("__size"))
+    same = rows[f"`{id_col}`"].eqNullSafe(mixed["__id"]) & rows[f"`{source_col}`"].eqNullSafe(mixed["__source"]) & (rows["__size"] == mixed["size"])
+    return rows.join(mixed.hint("shuffle_hash"), same).select(*[rows[f"`{c}`"] for c in kept], *new)
+
+
 def mix_sql(relation: str = "documents", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> str:
     """The same rows (doc_id, source, size, source_size, target, taken) as DuckDB SQL over a relation of documents."""
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
