@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkmodel.llm import toxicity
+from sparkmodel.llm import toxicity, warc
 from sparkmodel.llm.decontamination import find_contamination
 from sparkmodel.llm.line_dedup import remove_repeated_lines
 from sparkmodel.llm.mixing import mix_sources, mix_sql
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back by index."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all sources takes."""
     return mix_sources(table(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_mixing": op2_mixing,
         "op3_secrets": op3_secrets,
         "op4_toxicity": op4_toxicity,
@@ -78,5 +84,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.SQL,
         "op2_mixing": mix_sql(),
     }

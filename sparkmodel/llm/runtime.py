@@ -75,7 +75,7 @@ def put_bytes(path: str, data: bytes) -> None:
 
     store, inner = fs.FileSystem.from_uri(path)
     store.create_dir(inner.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(inner) as f:
+    with store.open_output_stream(inner, compression=None) as f:
         f.write(data)
 
 
@@ -83,7 +83,7 @@ def get_bytes(path: str) -> bytes:
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(inner) as f:
+    with store.open_input_stream(inner, compression=None) as f:
         return f.read()
 
 
