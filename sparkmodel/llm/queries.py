@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkmodel.llm import toxicity, warc
 from sparkmodel.llm.decontamination import find_contamination
+from sparkmodel.llm.lattice import embedding_groups
 from sparkmodel.llm.line_dedup import remove_repeated_lines
 from sparkmodel.llm.mixing import mix_sources, mix_sql
 from sparkmodel.llm.secrets import find_secrets
@@ -63,6 +64,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near-duplicate embeddings."""
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on the URL of every page."""
     return judge_urls(table(spark, sf_dir, "pages"))
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
+        "op9_embeddings": op9_embeddings,
         "op10_url_filter": op10_url_filter,
     }
 
