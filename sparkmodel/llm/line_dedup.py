@@ -120,28 +120,10 @@ def removable(chunks: Chunks, repeated: np.ndarray, min_words: int) -> np.ndarra
     return repeated & (np.bincount(run, chunks.words)[run] >= min_words)
 
 
-def compared_bytes(docs: DataFrame, text_col: str, cut: str, own: str, min_words: int) -> DataFrame:
-    """(hash) of chunks that are equal by hash and not by bytes: these are not removed. Expected to be empty."""
-    at = [docs.columns.index(c) for c in (text_col, cut, own)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, bytes]] = set()
-        for batch in batches:
-            text, cuts, owns = (batch.column(i) for i in at)
-            for block in ragged.blocks(text, BLOCK):
-                chunks = cut_chunks(block)
-                n = len(block.starts)
-                gone = removable(chunks, members(cuts, chunks, block.first, n) | chunks.again, min_words)
-                used = np.flatnonzero(gone | members(owns, chunks, block.first, n))
-                raw = block.data.tobytes()
-                seen |= {(h, raw[a:b]) for h, a, b in zip(chunks.hash[used].tolist(), chunks.start[used].tolist(), chunks.end[used].tolist(), strict=True)}
-            if len(seen) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.binary())], names=["hash", "bytes"])
-                seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.binary())], names=["hash", "bytes"])
-
-    pairs = docs.mapInArrow(run, "hash bigint, bytes binary").groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+def unequal_chunks(pairs: DataFrame) -> DataFrame:
+    """(hash) of the chunks in `pairs` (hash, bytes) that are equal by hash and not by bytes. Expected to be empty."""
+    different = pairs.groupBy("hash", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    return different.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
@@ -151,6 +133,9 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id all keep it. A null id is larger than any other. What is removed goes up to the next word that stays;
     all else stays byte for byte. Null texts stay null, empty ones empty; a text of which nothing is left is an empty
     text, so no row is dropped. Columns are those of docs, with any extra ones; an empty table gives an empty result.
+
+    The texts are cut, and beside them the bytes of all chunks that were removed or are the kept first copy are
+    written. If these show chunks of one hash and different bytes, the texts are cut again without removing those.
     """
     spark = docs.sparkSession
     columns = docs.columns
@@ -159,44 +144,65 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     drop_folder(spark, rows)
     release(spark)
     names = []
-    for name in ("cut", "own", "id"):
+    for name in ("cut", "own", "id", "pairs"):
         while name in columns:
             name += "_"
         names.append(name)
-    cut, own, key = names
+    cut, own, key, pairs = names
     lists = lists.toDF(key, cut, own)
-    both = written(docs.join(lists, docs[f"`{id_col}`"].eqNullSafe(lists[key]), "left").select(*[docs[f"`{c}`"] for c in columns], cut, own), "beside")
-    release(spark)
-    unequal = {r["hash"] for r in compared_bytes(both, text_col, cut, own, min_words).toLocalIterator()}
-    different = np.array(sorted(unequal), np.int64)
-    text_at, cut_at = columns.index(text_col), len(columns)
+    beside = docs.join(lists.hint("shuffle_hash"), docs[f"`{id_col}`"].eqNullSafe(lists[key]), "left").select(*[docs[f"`{c}`"] for c in columns], cut, own)
     extra = [n for n in ("removed_chunks", "removed_words") if report]
+    shortened = written(shorten(beside, columns.index(text_col), extra, pairs, min_words, []), "shortened")
+    release(spark)
+    different = [r["hash"] for r in unequal_chunks(shortened.select(F.explode(pairs).alias("p")).select("p.*")).toLocalIterator()]
+    if different:
+        shortened = shorten(beside, columns.index(text_col), extra, pairs, min_words, different)
+    return shortened.select(*[f"`{c}`" for c in columns], *extra)
+
+
+def shorten(beside: DataFrame, text_at: int, extra: list[str], pairs: str, min_words: int, different: list[int]) -> DataFrame:
+    """Cut the texts of rows that end with the lists cut and own, whose place pairs (hash, bytes) take.
+
+    The pairs of a batch stand in its first row, each once. Chunks with a hash in `different` are not removed.
+    """
+    fields = beside.schema.fields[:-2]
+    columns = [f.name for f in fields]
+    pair = pa.list_(pa.struct([("hash", pa.int64()), ("bytes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not len(batch):
+                continue
             texts: list[str | None] = []
             n_chunks, n_words = [], []
+            seen: set[tuple[int, bytes]] = set()
+            cuts, owns = batch.column(len(columns)), batch.column(len(columns) + 1)
             for block in ragged.blocks(batch.column(text_at), BLOCK):
                 n = len(block.starts)
                 chunks = cut_chunks(block)
-                gone = (members(batch.column(cut_at), chunks, block.first, n) | chunks.again) & ~np.isin(chunks.hash, different)
-                gone = removable(chunks, gone, min_words)
+                repeated = members(cuts, chunks, block.first, n) | chunks.again
+                if different:
+                    repeated &= ~np.isin(chunks.hash, different)
+                gone = removable(chunks, repeated, min_words)
                 n_chunks.append(np.bincount(chunks.text[gone], minlength=n))
                 n_words.append(np.bincount(chunks.text[gone], chunks.words[gone], minlength=n).astype(np.int64))
-                texts += kept_texts(block, chunks, gone)
+                raw = block.data.tobytes()
+                texts += kept_texts(block, raw, chunks, gone)
+                used = np.flatnonzero(gone | members(owns, chunks, block.first, n))
+                seen.update((h, raw[a:b]) for h, a, b in zip(chunks.hash[used].tolist(), chunks.start[used].tolist(), chunks.end[used].tolist(), strict=True))
             null = batch.column(text_at).is_null().to_pylist()
             new = pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string())
             out = [new if i == text_at else batch.column(i) for i in range(len(columns))]
-            counts = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in (n_chunks, n_words)][: len(extra)]
-            yield pa.RecordBatch.from_arrays([*out, *counts], names=[*columns, *extra])
+            counts = [pa.array(np.concatenate(x), pa.int64()) for x in (n_chunks, n_words)][: len(extra)]
+            bytes_ = pa.array([[{"hash": h, "bytes": b} for h, b in seen]] + [[]] * (len(batch) - 1), pair)
+            yield pa.RecordBatch.from_arrays([*out, *counts, bytes_], names=[*columns, *extra, pairs])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{n} bigint" for n in extra])
-    return both.mapInArrow(run, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} bigint" for n in extra])
+    return beside.mapInArrow(run, f"{schema}, `{pairs}` array<struct<hash: bigint, bytes: binary>>")
 
 
-def kept_texts(block: ragged.Block, chunks: Chunks, gone: np.ndarray) -> list[str]:
+def kept_texts(block: ragged.Block, raw: bytes, chunks: Chunks, gone: np.ndarray) -> list[str]:
     """The texts of a block without the chunks that go, each with the white space up to the next chunk."""
-    raw = block.data.tobytes()
     out = []
     bounds = np.searchsorted(chunks.text, np.arange(len(block.starts) + 1))
     touched = np.bincount(chunks.text[gone], minlength=len(block.starts))
