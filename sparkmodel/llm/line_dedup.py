@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sparkmodel.llm import ragged
 from sparkmodel.llm.runtime import drop_folder, release, ship, written
 
-WRAP, ROLL, REACH = 6, 2, 3
+WRAP, ROLL, REACH = 8, 2, 3
 #: A run of repeated chunks of fewer words stays: it is a phrase or a single line that texts share by right.
 MIN_WORDS = 16
 #: Bytes of text worked on at once.
