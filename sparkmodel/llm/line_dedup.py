@@ -57,7 +57,8 @@ def cut_chunks(block: ragged.Block) -> Chunks:
     line = prefix.hashes(starts[first], ends[last])
     rolling = line.copy()
     for step in range(1, ROLL):
-        rolling[:-step] = rolling[:-step] * np.uint64(ragged.BASE) + line[step:]
+        own = np.flatnonzero(line_text[step:] == line_text[:-step])
+        rolling[own] = rolling[own] * np.uint64(ragged.BASE) + line[own + step]
     ending = np.concatenate((line_text[1:] != line_text[:-1], [True]))
     chunk_last = np.flatnonzero(ragged.winnow(ragged.mix(rolling), REACH, line_text) | ending)
     chunk_first = np.concatenate(([0], chunk_last[:-1] + 1))
