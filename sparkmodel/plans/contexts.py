@@ -18,6 +18,7 @@ from sparkmodel.operators.audits import Outcome, enforce, failures
 from sparkmodel.operators.table_diff import RowDiff, multiset_diff
 from sparkmodel.plans import intervals as iv
 from sparkmodel.plans.graphs import Graph, Selector, run_graph
+from sparkmodel.plans.lineage import column_lineage
 from sparkmodel.plans.models import Category, Fingerprint, Kind, Model, ModelChange, categorized, fingerprints
 from sparkmodel.plans.storage import Files, TableStore
 from sparkmodel.plans.times import Cron, TimeLike, exclusive_end, from_millis, literal, millis, to_datetime, variables
@@ -45,6 +46,15 @@ class Ledger:
             every[table] = change([tuple(x) for x in every.get(table, [])])
             self.put("intervals", every)
 
+    def dump(self) -> dict[str, Any]:
+        """All state, to be kept elsewhere or loaded into another project."""
+        return {n: self.get(n, {}) for n in ("intervals", "environments", "restatements")}
+
+    def load(self, state: Mapping[str, Any]) -> None:
+        with self.lock:
+            for name, value in state.items():
+                self.put(name, value)
+
     def environment(self, name: str) -> dict[str, Any] | None:
         return self.get("environments", {}).get(name)
 
@@ -187,9 +197,29 @@ class Context:
         if shown is None:
             raise KeyError(f"no environment {environment}")
         at = to_datetime(now) if now is not None else datetime.now(UTC)
+        self.restate_on_schedule(shown["tables"], at)
         missing = {n: self.missing_of(n, t, at) for n, t in shown["tables"].items() if n in self.models}
         return self.load(shown["tables"], missing, at)
 
+    def restate_on_schedule(self, tables: Mapping[str, str], now: datetime) -> list[str]:
+        """Take out of the ledger what models with a restatement schedule, and all below them, must load again."""
+        state, done = self.ledger.get("restatements", {}), []
+        for name, m in self.models.items():
+            if m.restate_cron is None or name not in tables:
+                continue
+            last = from_millis(state[name]) if name in state else None
+            gone = iv.due_restatement(last, Cron(m.restate_cron), now, self.ledger.intervals(tables[name]), m.restate_intervals, m.interval_unit)
+            if gone is None:
+                continue
+            for n in {name, *self.graph.downstream(name)} & set(tables):
+                below = self.models[n]
+                self.ledger.change_intervals(tables[n], lambda i, g=iv.restated(gone, below.interval_unit, below.sequential, now): iv.removed(i, g))
+            state[name] = millis(now)
+            done.append(name)
+        if done:
+            self.ledger.put("restatements", state)
+        return done
+
     def check_intervals(self, environment: str = "prod", now: TimeLike | None = None) -> dict[str, list[iv.Interval]]:
         """What run() would load."""
         shown = self.ledger.environment(environment) or {"tables": {}}
@@ -370,6 +400,39 @@ class Context:
                 raise AssertionError(f"unexpected columns {sorted(extra)}")
         return multiset_diff(align(expected, actual.select(expected.columns).schema), actual.select(expected.columns))
 
+    def create_test(self, name: str, limit: int = 10, start: TimeLike = "2000-01-01", end: TimeLike = "2000-01-01", environment: str = "prod") -> dict[str, Any]:
+        """A test of a model from present rows: some of each parent's, and what the model makes of them."""
+        tables = (self.ledger.environment(environment) or {"tables": {}})["tables"]
+        now = datetime.now(UTC)
+        parents = {p: self.frame(p, tables, None, now).limit(limit) for p in self.models[name].parents}
+        inputs = {p: ([tuple(r) for r in df.collect()], df.schema) for p, df in parents.items()}
+        trial = Context.__new__(Context)
+        trial.__dict__.update(self.__dict__)
+        trial.frame = lambda n, *_: self.spark.createDataFrame(*inputs[n])  # type: ignore[method-assign]
+        out = trial.query(self.models[name], {}, (to_datetime(start), exclusive_end(end)), now)
+        return {"model": name, "inputs": inputs, "expected": ([tuple(r) for r in out.collect()], out.schema), "range": (start, end)}
+
+    def lineage(self, name: str, environment: str = "prod") -> dict[str, dict[str, set[str]]]:
+        """By output column of a model the parents' columns it comes from."""
+        tables = (self.ledger.environment(environment) or {"tables": {}})["tables"]
+        now = datetime.now(UTC)
+        parents = {p: self.frame(p, tables, None, now) for p in self.models[name].parents}
+        trial = Context.__new__(Context)
+        trial.__dict__.update(self.__dict__)
+        trial.frame = lambda n, *_: parents[n]  # type: ignore[method-assign]
+        return column_lineage(trial.query(self.models[name], tables, (now, now), now), parents)
+
+    def gaps(self, plan: Plan) -> dict[str, list[iv.Interval]]:
+        """Ranges that an environment shows now and would not after a plan with its loads."""
+        shown = (self.ledger.environment(plan.environment) or {"tables": {}})["tables"]
+        out = {}
+        for name, table in plan.tables.items():
+            if name in shown and shown[name] != table:
+                left = iv.gaps(self.ledger.intervals(shown[name]), [*self.ledger.intervals(table), *plan.missing.get(name, [])])
+                if left:
+                    out[name] = left
+        return out
+
     def lint(self) -> dict[str, list[str]]:
         """Rules that models break, by model."""
         rules: dict[str, Callable[[Model], bool]] = {

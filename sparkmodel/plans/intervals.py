@@ -120,3 +120,21 @@ def restated(own: Interval, unit: IntervalUnit, self_referencing: bool, now: dat
     """A restatement in a model's own steps; a model that reads its past is restated up to now."""
     low, high = unit.floor(from_millis(own[0])), unit.ceil(from_millis(own[1]))
     return millis(low), millis(unit.floor(now) if self_referencing else high)
+
+
+def due_restatement(last: datetime | None, cron: Cron, now: datetime, loaded: Sequence[Interval], count: int | None, unit: IntervalUnit) -> Interval | None:
+    """What a scheduled restatement takes out of the ledger: the last `count` steps (all without one), if it is due."""
+    if not loaded or last is not None and cron.next(last) > now:
+        return None
+    end = max(e for _, e in loaded)
+    if count is None:
+        return min(s for s, _ in loaded), end
+    return millis(unit.add(from_millis(end), -count)), end
+
+
+def gaps(before: Iterable[Interval], after: Iterable[Interval]) -> list[Interval]:
+    """What was loaded before and is not any more: an environment must not lose it."""
+    left = merged(before)
+    for interval in merged(after):
+        left = removed(left, interval)
+    return left

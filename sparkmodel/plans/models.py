@@ -69,6 +69,8 @@ class Model:
     signals: Sequence[Callable[..., Any]] = ()
     grain: Sequence[str] = ()
     batch_size: int | None = None
+    restate_cron: str | None = None
+    restate_intervals: int | None = None
     lookback: int = 0
     forward_only: bool = False
     allow_partials: bool = False

@@ -218,3 +218,55 @@ def test_stream_counts_and_merge(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/tables")
     merge_stream(stream, store, "latest", ["id"], f"{tmp_path}/ck", ["ts"]).awaitTermination()
     assert {(r["id"], r["ts"].hour) for r in store.read("latest").collect()} == {(1, 6), (2, 5)}
+
+
+def test_lineage(spark, tmp_path):
+    from sparkmodel.plans.lineage import column_lineage, inherited_descriptions
+
+    a, b = spark.createDataFrame([(1, 2)], "k int, x int"), spark.createDataFrame([(1, 3)], "k2 int, y int")
+    out = a.join(b, a.k == b.k2).groupBy("k").sum("x", "y").selectExpr("k AS key", "`sum(x)` + `sum(y)` AS both", "1 AS one")
+    found = column_lineage(out, {"a": a, "b": b})
+    assert found == {"key": {"a": {"k"}}, "both": {"a": {"x"}, "b": {"y"}}, "one": {}}
+    assert inherited_descriptions(found, {"a": {"k": "the key", "x": "an x"}}) == {"key": "the key"}
+    ctx = project(spark, tmp_path)
+    ctx.apply(ctx.plan(now="2024-05-04"))
+    assert ctx.lineage("total") == {"total": {"daily": {"total"}}}
+
+
+def test_scheduled_restatement_state_and_gaps(spark, tmp_path):
+    ctx = project(spark, tmp_path / "one")
+    ctx.apply(ctx.plan(now="2024-05-04"))
+    ctx.add(with_changes(ctx.models["daily"], restate_cron="@weekly", restate_intervals=2))
+    table = ctx.ledger.environment("prod")["tables"]["daily"]
+    assert ctx.restate_on_schedule({"daily": table}, NOW) == ["daily"] and len(ctx.missing_of("daily", table, at(2024, 5, 4))) == 2
+    assert ctx.restate_on_schedule({"daily": table}, NOW) == []
+    other = project(spark, tmp_path / "two")
+    other.ledger.load(ctx.ledger.dump())
+    assert other.environments() == ["prod"]
+    assert iv.gaps([(0, 10)], [(2, 4), (8, 20)]) == [(0, 2), (4, 8)]
+    ctx.add(with_changes(ctx.models["total"], query="SELECT sum(total) + 0 AS total FROM {daily}"))
+    assert ctx.gaps(ctx.plan(now="2024-05-04")) == {}
+
+
+def test_generated_test_passes(spark, tmp_path):
+    ctx = project(spark, tmp_path)
+    ctx.apply(ctx.plan(now="2024-05-04"))
+    assert ctx.test(ctx.create_test("total")).count() == 0
+
+
+def test_signals(spark, tmp_path):
+    from sparkmodel.plans.signals import fresh, until
+
+    (tmp_path / "f").write_text("x")
+    assert fresh(spark, [f"file://{tmp_path}"], lambda: 0)([(0, 1)]) and not fresh(spark, [f"file://{tmp_path}"], lambda: 1 << 60)([(0, 1)])
+    assert iv.ready([(0, 1), (1, 2)], until(lambda: 1)) == [(0, 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkmodel.__main__ import main
+
+    file = tmp_path / "project.py"
+    file.write_text("from sparkmodel.plans.models import Model\nmodels = [Model('m', 'SELECT 1 AS one', start='2024-05-01')]\n")
+    for command in (["plan", "--now", "2024-05-03"], ["apply", "--now", "2024-05-03"], ["dag"], ["lint"], ["environments"], ["fetch", "SELECT one FROM m"], ["info"]):
+        assert main([str(file), *command]) == 0
+    assert "load m" in (said := capsys.readouterr().out) and "prod" in said and "1 models" in said
