@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer single text is one block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 960_000
 #: An odd multiplier has an inverse modulo 2**64, so that the hash of any slice follows from two prefix sums.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
