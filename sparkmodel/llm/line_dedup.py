@@ -23,8 +23,6 @@ from sparkmodel.llm.runtime import drop_folder, release, ship, written
 WRAP, ROLL, REACH = 8, 2, 3
 #: A run of repeated chunks of fewer words stays: it is a phrase or a single line that texts share by right.
 MIN_WORDS = 16
-#: Bytes of text worked on at once.
-BLOCK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -79,7 +77,7 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in ragged.blocks(batch.column(1), BLOCK):
+            for block in ragged.blocks(batch.column(1)):
                 chunks = cut_chunks(block)
                 new = ~chunks.again
                 yield pa.RecordBatch.from_arrays([pa.array(chunks.hash[new]), batch.column(0).take(pa.array(chunks.text[new] + block.first))], names=["hash", "id"])
@@ -164,39 +162,31 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def shorten(beside: DataFrame, text_at: int, extra: list[str], pairs: str, min_words: int, different: list[int]) -> DataFrame:
     """Cut the texts of rows that end with the lists cut and own, whose place pairs (hash, bytes) take.
 
-    The pairs of a batch stand in its first row, each once. Chunks with a hash in `different` are not removed.
+    The pairs of a block of rows stand in its first row, each once. Chunks with a hash in `different` are not removed.
     """
     fields = beside.schema.fields[:-2]
     columns = [f.name for f in fields]
-    pair = pa.list_(pa.struct([("hash", pa.int64()), ("bytes", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            texts: list[str | None] = []
-            n_chunks, n_words = [], []
-            seen: set[tuple[int, bytes]] = set()
-            cuts, owns = batch.column(len(columns)), batch.column(len(columns) + 1)
-            for block in ragged.blocks(batch.column(text_at), BLOCK):
+            for block in ragged.blocks(batch.column(text_at)):
                 n = len(block.starts)
+                rows = batch.slice(block.first, n)
                 chunks = cut_chunks(block)
-                repeated = members(cuts, chunks, block.first, n) | chunks.again
+                repeated = members(rows.column(len(columns)), chunks, 0, n) | chunks.again
                 if different:
                     repeated &= ~np.isin(chunks.hash, different)
                 gone = removable(chunks, repeated, min_words)
-                n_chunks.append(np.bincount(chunks.text[gone], minlength=n))
-                n_words.append(np.bincount(chunks.text[gone], chunks.words[gone], minlength=n).astype(np.int64))
                 raw = block.data.tobytes()
-                texts += kept_texts(block, raw, chunks, gone)
-                used = np.flatnonzero(gone | members(owns, chunks, block.first, n))
-                seen.update((h, raw[a:b]) for h, a, b in zip(chunks.hash[used].tolist(), chunks.start[used].tolist(), chunks.end[used].tolist(), strict=True))
-            null = batch.column(text_at).is_null().to_pylist()
-            new = pa.array([None if z else t for t, z in zip(texts, null, strict=True)], pa.string())
-            out = [new if i == text_at else batch.column(i) for i in range(len(columns))]
-            counts = [pa.array(np.concatenate(x), pa.int64()) for x in (n_chunks, n_words)][: len(extra)]
-            bytes_ = pa.array([[{"hash": h, "bytes": b} for h, b in seen]] + [[]] * (len(batch) - 1), pair)
-            yield pa.RecordBatch.from_arrays([*out, *counts, bytes_], names=[*columns, *extra, pairs])
+                null = rows.column(text_at).is_null().to_pylist()
+                new = pa.array([None if z else t for t, z in zip(kept_texts(block, raw, chunks, gone), null, strict=True)], pa.string())
+                out = [new if i == text_at else rows.column(i) for i in range(len(columns))]
+                counts = [np.bincount(chunks.text[gone], minlength=n), np.bincount(chunks.text[gone], chunks.words[gone], minlength=n).astype(np.int64)]
+                used = np.flatnonzero(gone | members(rows.column(len(columns) + 1), chunks, 0, n))
+                seen = {(h, raw[a:b]) for h, a, b in zip(chunks.hash[used].tolist(), chunks.start[used].tolist(), chunks.end[used].tolist(), strict=True)}
+                flat = pa.StructArray.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array([b for _, b in seen], pa.binary())], ["hash", "bytes"])
+                first = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.full(n, len(seen)))), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*out, *[pa.array(c) for c in counts][: len(extra)], first], names=[*columns, *extra, pairs])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} bigint" for n in extra])
     return beside.mapInArrow(run, f"{schema}, `{pairs}` array<struct<hash: bigint, bytes: binary>>")
