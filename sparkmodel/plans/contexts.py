@@ -6,7 +6,7 @@ import json
 import threading
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -294,10 +294,32 @@ class Context:
             if m.audits:
                 found.extend(enforce(self.in_range(m, staged, low, high), m.audits))
 
-        self.store.write(name, self.next_state(m, present, rows, low, high, now), m.partition_by, check)
+        whole = self.store.parts(name).keys() <= {""} if present is not None else False
+        if m.kind is Kind.TIME_RANGE and not (whole and self.store.parts(name)):
+            self.write_range(m, name, rows, low, high, check)
+        elif (m.kind is Kind.PARTITION or m.overwrite) and not (whole and self.store.parts(name)):
+            self.store.replace_parts(name, rows, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in m.partition_by]), check=check)
+        elif m.kind is Kind.UNMANAGED and present is not None:
+            self.store.append(name, rows, check)
+        else:
+            self.store.write(name, self.next_state(m, present, rows, low, high, now), m.partition_by, check)
         self.ledger.change_intervals(name, lambda i: iv.merged([*i, span]))
         return found
 
+    def write_range(self, m: Model, name: str, rows: DataFrame, low: datetime, high: datetime, check: Callable[[DataFrame], None]) -> None:
+        """Replace the parts of a time range: a part holds the rows of one interval unit, or of one value of a text or number."""
+        lo, hi = self.time_bounds(m, rows, low, high)
+        kind = rows.schema[m.time_column].dataType.simpleString()
+        inside = rows.where(F.col(m.time_column).between(lo, hi))
+        if kind in ("date", "timestamp", "timestamp_ntz"):
+            stamp = m.interval_unit.stamp
+            first, last = low.strftime(stamp), (high - timedelta(microseconds=1)).strftime(stamp)
+            self.store.replace_parts(name, inside, F.date_format(m.time_column, m.interval_unit.label), lambda p: first <= p <= last, check)
+            return
+        first, last = literal(low, kind, m.time_format), literal(high - timedelta(microseconds=1), kind, m.time_format)
+        convert = str if kind == "string" else int
+        self.store.replace_parts(name, inside, F.col(m.time_column).cast("string"), lambda p: first <= convert(p) <= last, check)
+
     def in_range(self, m: Model, df: DataFrame, low: datetime, high: datetime) -> DataFrame:
         """The rows that a load of the range has made."""
         if m.kind is not Kind.TIME_RANGE:
@@ -306,8 +328,6 @@ class Context:
         return df.where(F.col(m.time_column).between(lo, hi))
 
     def time_bounds(self, m: Model, df: DataFrame, low: datetime, high: datetime) -> tuple[Any, Any]:
-        from datetime import timedelta
-
         kind = df.schema[m.time_column].dataType.simpleString()
         return tuple(F.lit(literal(t, kind, m.time_format)).cast(df.schema[m.time_column].dataType) for t in (low, high - timedelta(microseconds=1)))
 

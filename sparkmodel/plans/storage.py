@@ -1,19 +1,23 @@
-"""Tables as directories of versions with a pointer to the present one: atomic replacement without a table format.
+"""Tables as directories of parts with a manifest of the present ones: atomic replacement without a table format.
 
-A write makes a new version beside the present one and then switches the pointer, so readers see either state, a table
-can be read by what replaces it, and a write can be checked before it is published.
+A write makes new directories beside the present ones and then switches the manifest, so readers see either state, a
+table can be read by what replaces it, and a write can be checked before it is published.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkmodel.plans.evolution import Policy, changes, enforce, evolved
+from sparkmodel.functions.frames import align
+from sparkmodel.plans.evolution import Policy, applied, changes, enforce, evolved
 
 
 class Files:
@@ -58,50 +62,107 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name))) if self.exists(name) else []
 
 
+PART = "__part"
+
+
 class TableStore:
-    """Tables by name under one root."""
+    """Tables by name under one root.
+
+    A table is a manifest (current.json) that names its schema and its parts: directories, each written once. A full
+    write has one part. Tables that are loaded range by range or partition by partition have a part for each of these,
+    so a load writes the rows it brings and touches no others.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)
 
-    def pointer(self, name: str) -> dict[str, Any] | None:
+    def manifest(self, name: str) -> dict[str, Any] | None:
         return json.loads(self.files.read(f"{name}/current.json")) if self.files.exists(f"{name}/current.json") else None
 
     def exists(self, name: str) -> bool:
-        return self.pointer(name) is not None
+        return self.manifest(name) is not None
 
-    def read(self, name: str) -> DataFrame:
-        now = self.pointer(name)
+    def parts(self, name: str) -> dict[str, str]:
+        """Directories by part; the part of a whole write is ''."""
+        now = self.manifest(name)
         if now is None:
             raise KeyError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.files.root}/{name}/{now['version']}")
+        return now["parts"]
 
-    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), check: Callable[[DataFrame], None] | None = None) -> DataFrame:
-        """Write the next state, let `check` look at it (an exception keeps the present state), and publish it."""
+    def schema(self, name: str) -> T.StructType:
+        return T.StructType.fromJson(self.manifest(name)["schema"])
+
+    def read(self, name: str) -> DataFrame:
+        parts, schema = self.parts(name), self.schema(name)
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.load(name, parts.values(), schema)
+
+    def load(self, name: str, parts: Iterable[str], schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{name}/{p}" for p in parts])
+
+    def publish(self, name: str, parts: dict[str, str], schema: T.StructType, partition_by: Sequence[str] = ()) -> None:
+        before = self.manifest(name)
+        previous = sorted(before["parts"].values()) if before else []
+        self.files.write(f"{name}/current.json", json.dumps({"parts": parts, "schema": json.loads(schema.json()), "previous": previous, "partition_by": list(partition_by)}))
+
+    def stage(self, name: str, df: DataFrame, partition_by: Sequence[str], schema: T.StructType, check: Callable[[DataFrame], None] | None) -> tuple[str, list[str]]:
+        """Write rows to a new directory and let `check` look at them: (directory, its parts). An exception removes it."""
         version = uuid.uuid4().hex
-        where = f"{self.files.root}/{name}/{version}"
-        df.write.partitionBy(*partition_by).parquet(where)
-        staged = self.spark.read.schema(df.schema).parquet(where)
+        df.write.partitionBy(*partition_by).parquet(f"{self.files.root}/{name}/{version}")
+        inside = [n for n in self.files.names(f"{name}/{version}") if n.startswith(f"{PART}=")]
         if check is not None:
             try:
-                check(staged)
+                paths = [f"{version}/{n}" for n in inside] if partition_by and partition_by[0] == PART else [version]
+                check(self.load(name, paths, schema) if paths else self.spark.createDataFrame([], schema))
             except Exception:
                 self.files.delete(f"{name}/{version}")
                 raise
-        before = self.pointer(name)
-        self.files.write(f"{name}/current.json", json.dumps({"version": version, "previous": before["version"] if before else None, "partition_by": list(partition_by)}))
-        return staged
-
-    def evolve(self, name: str, schema: Any, destructive: Policy = Policy.ERROR, additive: Policy = Policy.ALLOW) -> bool:
-        """Rewrite a table in another schema if the policies allow it; False if nothing changes."""
-        df = self.read(name)
-        steps = enforce(changes(df.schema, schema), destructive, additive)
-        if steps:
-            self.write(name, evolved(df, schema), self.pointer(name)["partition_by"])
-        return bool(steps)
+        return version, inside
+
+    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Write the next state of the whole table; an exception from `check` keeps the present one."""
+        version, _ = self.stage(name, df, partition_by, df.schema, check)
+        self.publish(name, {"": version}, df.schema, partition_by)
+        return self.read(name)
+
+    def append(self, name: str, df: DataFrame, check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Add rows as a part of their own."""
+        schema = self.schema(name)
+        version, _ = self.stage(name, align(df, schema), (), schema, check)
+        self.publish(name, {**self.parts(name), version: version}, schema, self.manifest(name)["partition_by"])
+        return self.read(name)
+
+    def replace_parts(self, name: str, df: DataFrame, part: Column, gone: Callable[[str], bool] = lambda _: False, check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Write rows as one part per value of `part` (text). Parts of these names are replaced, and those in `gone` go."""
+        now = self.manifest(name)
+        schema = T.StructType.fromJson(now["schema"]) if now else df.schema
+        rows = align(df, schema).withColumn(PART, part)
+        # one task for each part would be the whole of a hot one: deal by part and a salt
+        version, inside = self.stage(name, rows.repartition(PART, F.pmod(F.monotonically_increasing_id(), F.lit(8))), [PART], schema, check)
+        fresh = {unquote(n.partition("=")[2]): f"{version}/{n}" for n in inside}
+        kept = {k: v for k, v in (now["parts"] if now else {}).items() if k not in fresh and not (k and gone(k))}
+        self.publish(name, kept | fresh, schema, now["partition_by"] if now else [])
+        return self.read(name)
+
+    def evolve(self, name: str, schema: T.StructType, destructive: Policy = Policy.ERROR, additive: Policy = Policy.ALLOW) -> bool:
+        """Take on another schema if the policies allow it; False if nothing changes.
+
+        New columns are null in old parts without rewriting them; anything else rewrites each part by itself.
+        """
+        now = self.schema(name)
+        steps = enforce(changes(now, schema), destructive, additive)
+        if not steps:
+            return False
+        after = applied(now, steps)
+        parts = self.parts(name)
+        if not all(s.additive and len(s.path) == 1 for s in steps):
+            parts = {k: self.stage(name, evolved(self.load(name, [v], now), after), (), after, None)[0] for k, v in parts.items()}
+        self.publish(name, parts, after, self.manifest(name)["partition_by"])
+        return True
 
     def clone(self, source: str, name: str) -> DataFrame:
-        return self.write(name, self.read(source), self.pointer(source)["partition_by"])
+        return self.write(name, self.read(source), self.manifest(source)["partition_by"])
 
     def rename(self, source: str, name: str) -> None:
         self.files.fs.rename(self.files.path(source), self.files.path(name))
@@ -111,15 +172,17 @@ class TableStore:
 
     def delete_where(self, name: str, condition: str) -> DataFrame:
         """Rows for which the condition is true go."""
-        return self.write(name, self.read(name).where(f"NOT coalesce({condition}, false)"), self.pointer(name)["partition_by"])
+        return self.write(name, self.read(name).where(f"NOT coalesce({condition}, false)"), self.manifest(name)["partition_by"])
 
     def truncate(self, name: str) -> DataFrame:
-        return self.write(name, self.read(name).limit(0), self.pointer(name)["partition_by"])
+        self.publish(name, {}, self.schema(name), self.manifest(name)["partition_by"])
+        return self.read(name)
 
     def vacuum(self, name: str, keep_previous: bool = True) -> list[str]:
-        """Delete versions that no reader can need: all but the present one and the one before."""
-        now = self.pointer(name)
-        kept = {"current.json", now["version"], *([now["previous"]] if keep_previous else [])} if now else set()
+        """Delete directories that no reader can need: all but those of the present state and the one before."""
+        now = self.manifest(name)
+        used = [*now["parts"].values(), *(now["previous"] if keep_previous else [])]
+        kept = {"current.json", *(u.partition("/")[0] for u in used)}
         gone = [v for v in self.files.names(name) if v not in kept]
         for v in gone:
             self.files.delete(f"{name}/{v}")

@@ -135,6 +135,16 @@ class IntervalUnit(Enum):
     QUARTER_HOUR = 900
     FIVE_MINUTE = 300
 
+    @property
+    def label(self) -> str:
+        """A date_format pattern that is equal within one unit and sorts by time (small units: their minutes)."""
+        return {"YEAR": "yyyy", "MONTH": "yyyy-MM", "DAY": "yyyy-MM-dd", "HOUR": "yyyy-MM-dd HH"}.get(self.name, "yyyy-MM-dd HH-mm")
+
+    @property
+    def stamp(self) -> str:
+        """The strftime form of label."""
+        return {"YEAR": "%Y", "MONTH": "%Y-%m", "DAY": "%Y-%m-%d", "HOUR": "%Y-%m-%d %H"}.get(self.name, "%Y-%m-%d %H-%M")
+
     def floor(self, t: datetime) -> datetime:
         midnight = t.replace(hour=0, minute=0, second=0, microsecond=0)
         if self is IntervalUnit.YEAR:

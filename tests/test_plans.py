@@ -134,7 +134,7 @@ def test_store(spark, tmp_path):
     store.clone("t", "u")
     assert store.delete_where("u", "id = 1").count() == 1 and store.truncate("u").count() == 0
     assert store.evolve("t", T.StructType.fromDDL("id bigint, note string")) and store.read("t").columns == ["id", "note"]
-    assert len(store.vacuum("t")) == 1 and store.drop("u") and not store.exists("u")
+    assert len(store.vacuum("t", keep_previous=False)) == 1 and store.drop("u") and not store.exists("u")
 
 
 def project(spark, root):
@@ -270,3 +270,44 @@ def test_command_line(spark, tmp_path, capsys):
     for command in (["plan", "--now", "2024-05-03"], ["apply", "--now", "2024-05-03"], ["dag"], ["lint"], ["environments"], ["fetch", "SELECT one FROM m"], ["info"]):
         assert main([str(file), *command]) == 0
     assert "load m" in (said := capsys.readouterr().out) and "prod" in said and "1 models" in said
+
+
+def test_a_load_touches_only_its_own_parts(spark, tmp_path):
+    ctx = project(spark, tmp_path)
+    ctx.apply(ctx.plan(now="2024-05-04"))
+    name = ctx.ledger.environment("prod")["tables"]["daily"]
+    before = ctx.store.parts(name)
+    assert sorted(before) == ["2024-05-01", "2024-05-02", "2024-05-03"]
+    ctx.run(now="2024-05-05")
+    after = ctx.store.parts(name)
+    assert {k: after[k] for k in before} == before and set(after) - set(before) == {"2024-05-04"}
+    spark.sql("SELECT * FROM raw_events WHERE day <> date'2024-05-02'").write.saveAsTable("fewer_events")
+    ctx.add(with_changes(ctx.models["daily"], query=ctx.models["daily"].query.replace("raw_events", "fewer_events")))
+    ctx.load_span(ctx.models["daily"], {"daily": name}, (t.millis("2024-05-02"), t.millis("2024-05-03")), NOW)
+    assert "2024-05-02" not in ctx.store.parts(name) and ctx.store.read(name).count() == 3
+    spark.sql("DROP TABLE fewer_events")
+
+
+def test_partitions_appends_and_new_columns(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b/=", 2), (None, 3)], "k string, v int").createOrReplaceTempView("keyed")
+    by_key = Model("by_key", "SELECT k, v FROM keyed", kind=Kind.PARTITION, partition_by=["k"], start="2024-05-01", depends_on=[])
+    added = Model("added", "SELECT v FROM keyed", kind=Kind.UNMANAGED, start="2024-05-01", batch_size=1, depends_on=[])
+    ctx = Context(spark, f"file://{tmp_path}", [by_key, added])
+    ctx.apply(ctx.plan(now="2024-05-02"))
+    spark.createDataFrame([("b/=", 9, "n")], "k string, v int, note string").createOrReplaceTempView("keyed")
+    ctx.add(with_changes(by_key, query="SELECT k, v, note FROM keyed"))
+    tables = ctx.ledger.environment("prod")["tables"]
+    ctx.load_span(ctx.models["by_key"], tables, (t.millis("2024-05-02"), t.millis("2024-05-03")), NOW)
+    assert {tuple(r) for r in ctx.store.read(tables["by_key"]).collect()} == {("a", 1, None), ("b/=", 9, "n"), (None, 3, None)}
+    ctx.run(now="2024-05-04")
+    assert ctx.table("added").count() == 3 + 2
+
+
+def test_text_time_columns_have_a_part_for_each_value(spark, tmp_path):
+    spark.createDataFrame([("20240501", 1), ("20240502", 2)], "ds string, v int").createOrReplaceTempView("texts")
+    m = Model("texts", "SELECT * FROM texts WHERE ds BETWEEN :start_ds AND :end_ds OR true", kind=Kind.TIME_RANGE, time_column="ds", time_format="%Y%m%d", start="2024-05-01", depends_on=[])
+    ctx = Context(spark, f"file://{tmp_path}", [m])
+    ctx.apply(ctx.plan(now="2024-05-02"))
+    assert ctx.table("texts").count() == 1
+    ctx.run(now="2024-05-03")
+    assert sorted(r["ds"] for r in ctx.table("texts").collect()) == ["20240501", "20240502"]
