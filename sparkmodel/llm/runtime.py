@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 
 #: A table of at most this many rows may be broadcast (its columns are keys and numbers, so a few MB).
 BROADCAST_ROWS = 50_000
+#: Bytes of rows in one Arrow batch for a Python worker.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give every executor this package once per application, so that workers can import it."""
+    """Give every executor this package once per application, so that workers can import it.
+
+    Batches of rows that go to Python are kept to BATCH_BYTES, so that a worker's memory does not depend on the texts.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) != str(BATCH_BYTES):
+        spark.conf.set(setting, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
