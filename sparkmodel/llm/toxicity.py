@@ -73,6 +73,19 @@ def read_words(block: ragged.Block) -> Words:
     return Words(distinct, grams, gram_starts, word, first, count)
 
 
+def joined_words(parts: list[Words]) -> Words:
+    """The words of several blocks as if they were one."""
+    distinct, where, word = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    sizes = np.concatenate([np.diff(np.concatenate((p.gram_starts, [len(p.grams)]))) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    own = sizes[where]
+    starts = np.cumsum(own) - own
+    grams = np.concatenate([p.grams for p in parts])[np.repeat(begin[where] - starts, own) + np.arange(int(own.sum()))]
+    before = np.cumsum([0, *[len(p.hashes) for p in parts]])
+    words_before = np.cumsum([0, *[len(p.word) for p in parts]])
+    return Words(distinct, grams, starts, np.concatenate([word[p.word + b] for p, b in zip(parts, before, strict=False)]), np.concatenate([p.first + b for p, b in zip(parts, words_before, strict=False)]), np.concatenate([p.count for p in parts]))
+
+
 def windows_of(count: np.ndarray) -> np.ndarray:
     """Number of windows of texts with so many words; an empty text has one."""
     return 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE))
@@ -208,8 +221,8 @@ class Network:
 
 def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
     """Fit by Adam; a text's log-odds in training are the log-sum-exp over its windows, a smooth maximum."""
-    (block,) = list(ragged.blocks(pa.array(texts, pa.string()), 1 << 62)) if texts else [ragged.Block(0, np.full(1, 10, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))]
-    words = read_words(block)
+    nothing = ragged.Block(0, np.full(1, 10, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
+    words = joined_words([read_words(b) for b in ragged.blocks(pa.array(texts, pa.string()))] or [read_words(nothing)])
     seen = np.unique(np.repeat(np.arange(len(texts)), words.count) * np.int64(len(words.hashes) or 1) + words.word) % (len(words.hashes) or 1)
     often = np.bincount(seen, minlength=len(words.hashes))
     frequent = np.flatnonzero(often >= 5)
@@ -296,7 +309,7 @@ def scorer(net: Network, at: int):  # noqa: ANN201
     """Scores in [0, 1] of the texts in column `at` of a batch."""
 
     def scores(batch: pa.RecordBatch) -> np.ndarray:
-        out = [net.score(read_words(b)) for b in ragged.blocks(batch.column(at), ragged.BLOCK_BYTES // 2)]
+        out = [net.score(read_words(b)) for b in ragged.blocks(batch.column(at), ragged.BLOCK_BYTES)]
         return sigmoid(np.concatenate(out).astype(np.float64)) if out else np.empty(0)
 
     return scores
