@@ -87,8 +87,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = mixed.groupBy("__id", "__source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.min("taken").alias("taken")).where("taken > 0")
     new = ["size", "source_size", "target", "taken"]
     kept = [c for c in docs.columns if c not in new]
-    rows = docs.select(*[docs[f"`{c}`"] for c in kept], F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias("__size"))
-    same = rows[f"`{id_col}`"].eqNullSafe(mixed["__id"]) & rows[f"`{source_col}`"].eqNullSafe(mixed["__source"]) & (rows["__size"] == mixed["size"])
+    own_size = "__size"
+    while own_size in kept:
+        own_size += "_"
+    rows = docs.select(*[docs[f"`{c}`"] for c in kept], F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias(own_size))
+    same = rows[f"`{id_col}`"].eqNullSafe(mixed["__id"]) & rows[f"`{source_col}`"].eqNullSafe(mixed["__source"]) & (rows[own_size] == mixed["size"])
     return rows.join(mixed.hint("shuffle_hash"), same).select(*[rows[f"`{c}`"] for c in kept], *new)
 
 
