@@ -105,8 +105,9 @@ class Plan:
 class Context:
     """A project over one session and one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, models: Iterable[Model] = (), settings: Mapping[str, Any] | None = None, threads: int = 4):
+    def __init__(self, spark: SparkSession, root: str, models: Iterable[Model] = (), settings: Mapping[str, Any] | None = None, threads: int = 4, before_all: Iterable[str] = (), after_all: Iterable[str] = ()):
         self.spark, self.threads = spark, threads
+        self.before_all, self.after_all = list(before_all), list(after_all)
         self.models: dict[str, Model] = {m.name: m for m in models}
         self.settings = {k.lower(): v for k, v in (settings or {}).items()}
         self.store, self.ledger = TableStore(spark, f"{root.rstrip('/')}/tables"), Ledger(Files(spark, f"{root.rstrip('/')}/state"))
@@ -183,12 +184,16 @@ class Context:
 
     def apply(self, plan: Plan) -> dict[str, list[Outcome]]:
         """Load what is missing, parents first, and let the environment show the result."""
+        for statement in self.before_all:
+            self.spark.sql(statement)
         for name, gone in plan.restated.items():
             if name in plan.tables:
                 self.ledger.change_intervals(plan.tables[name], lambda i, g=gone: iv.removed(i, g))
         outcomes = self.load(plan.tables, plan.missing, plan.execution)
         prints = {n: vars(f) for n, f in self.fingerprints().items()}
         self.ledger.change_environments(lambda e: e.update({plan.environment: {"tables": plan.tables, "fingerprints": prints, "finalized": millis(plan.execution)}}))
+        for statement in self.after_all:
+            self.spark.sql(statement)
         return outcomes
 
     def run(self, environment: str = "prod", now: TimeLike | None = None) -> dict[str, list[Outcome]]:
@@ -283,6 +288,8 @@ class Context:
         """Compute one range, write it, check it, and book it."""
         name = tables[m.name]
         low, high = map(from_millis, span)
+        for statement in m.before:
+            self.spark.sql(statement)
         rows = self.query(m, tables, (low, high), now)
         present = self.store.read(name) if self.store.exists(name) else None
         if present is not None and m.kind.incremental and m.kind is not Kind.HISTORY:
@@ -304,6 +311,8 @@ class Context:
         else:
             self.store.write(name, self.next_state(m, present, rows, low, high, now), m.partition_by, check)
         self.ledger.change_intervals(name, lambda i: iv.merged([*i, span]))
+        for statement in m.after:
+            self.spark.sql(statement)
         return found
 
     def write_range(self, m: Model, name: str, rows: DataFrame, low: datetime, high: datetime, check: Callable[[DataFrame], None]) -> None:
@@ -453,14 +462,15 @@ class Context:
                     out[name] = left
         return out
 
-    def lint(self) -> dict[str, list[str]]:
-        """Rules that models break, by model."""
+    def lint(self, more: Mapping[str, Callable[[Model], bool]] | None = None) -> dict[str, list[str]]:
+        """Rules that models break, by model. `more` holds further rules: true for a model that breaks one."""
         rules: dict[str, Callable[[Model], bool]] = {
             "no_select_star": lambda m: isinstance(m.query, str) and "select *" in " ".join(m.query.lower().split()),
             "no_missing_audits": lambda m: m.kind.stored and m.kind is not Kind.SEED and not m.audits,
             "no_missing_owner": lambda m: not m.owner,
             "no_missing_grain": lambda m: m.kind.stored and not m.grain,
             "no_missing_external_models": lambda m: any(p not in self.models for p in m.parents),
+            **(more or {}),
         }
         return {n: found for n, m in self.models.items() if (found := [r for r, broken in rules.items() if broken(m)])}
 

@@ -77,6 +77,8 @@ class Model:
     on_destructive: Policy = Policy.ERROR
     on_additive: Policy = Policy.ALLOW
     path: str | None = None
+    before: Sequence[str] = ()
+    after: Sequence[str] = ()
     owner: str | None = None
     tags: Sequence[str] = ()
     description: str | None = None
@@ -128,6 +130,30 @@ def model(name: str, **settings: Any) -> Callable[[Callable[..., DataFrame]], Ca
     return register
 
 
+def filled(text: Any, values: Mapping[str, Any]) -> Any:
+    """A text with @{name} replaced; names compare without case, an unknown one is an error."""
+    low = {k.lower(): v for k, v in values.items()}
+
+    def value(m: re.Match[str]) -> str:
+        if m[1].lower() not in low:
+            raise KeyError(f"no value for @{{{m[1]}}}")
+        return str(low[m[1].lower()])
+
+    return re.sub(r"@\{(\w+)\}", value, text) if isinstance(text, str) else text
+
+
+def blueprints(pattern: Model, variants: Sequence[Mapping[str, Any]], settings: Mapping[str, Any] | None = None) -> list[Model]:
+    """A model for each variant: @{name} in the name, the SQL, tags and descriptions takes the variant's value.
+
+    A variant's values go before the project's settings.
+    """
+    out = []
+    for own in variants:
+        values = {**(settings or {}), **own}
+        out.append(replace(pattern, name=filled(pattern.name, values), query=filled(pattern.query, values), description=filled(pattern.description, values), tags=[filled(t, values) for t in pattern.tags], path=filled(pattern.path, values)))
+    return out
+
+
 class Category(Enum):
     """What a change means for the data that exists."""
 
@@ -163,7 +189,7 @@ def fingerprints(models: Mapping[str, Model], order: Sequence[str]) -> dict[str,
         if name not in models:
             continue
         m = models[name]
-        data = digest(m.source_text(), m.kind.value, m.time_column, m.time_format, list(m.keys), [vars(w) for w in m.when_matched], m.merge_filter, str(m.history), list(m.partition_by), m.overwrite, m.custom, dict(m.arguments), m.columns.jsonValue() if m.columns else None, m.path, m.lookback)
+        data = digest(m.source_text(), list(m.before), list(m.after), m.kind.value, m.time_column, m.time_format, list(m.keys), [vars(w) for w in m.when_matched], m.merge_filter, str(m.history), list(m.partition_by), m.overwrite, m.custom, dict(m.arguments), m.columns.jsonValue() if m.columns else None, m.path, m.lookback)
         metadata = digest(m.owner, list(m.tags), m.description, m.cron, str(m.start), str(m.end), [(a.name, str(a.arguments)) for a in m.audits], list(m.grain), m.batch_size)
         own = [out[p] for p in sorted(m.parents) if p in out and p != name]
         out[name] = Fingerprint(data, metadata, digest([(p.data, p.parent_data) for p in own]), digest([(p.metadata, p.parent_metadata) for p in own]))

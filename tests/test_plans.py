@@ -311,3 +311,37 @@ def test_text_time_columns_have_a_part_for_each_value(spark, tmp_path):
     assert ctx.table("texts").count() == 1
     ctx.run(now="2024-05-03")
     assert sorted(r["ds"] for r in ctx.table("texts").collect()) == ["20240501", "20240502"]
+
+
+def test_cases_from_yaml(spark, tmp_path):
+    from sparkmodel.plans.cases import load_cases
+
+    ctx = project(spark, tmp_path)
+    text = """
+adds_up:
+  model: total
+  inputs: {daily: {rows: [{total: 1}, {total: 2}], columns: {total: int}}}
+  output: [{total: 3}]
+fails:
+  model: total
+  inputs: {daily: [{total: 1}]}
+  output: {rows: [{total: 7}]}
+"""
+    cases = load_cases(text, ctx.models)
+    assert ctx.test(cases["adds_up"]).count() == 0 and ctx.test(cases["fails"]).count() == 2
+    with pytest.raises(ValueError, match="output"):
+        load_cases("x: {model: total}", ctx.models)
+
+
+def test_blueprints_statements_and_rules(spark, tmp_path):
+    from sparkmodel.plans.models import blueprints
+
+    pattern = Model("m_@{Name}", "SELECT @{value} AS v", start="2024-05-01", before=["CREATE OR REPLACE TEMP VIEW seen AS SELECT 1 AS one"], tags=["@{name}"])
+    made = blueprints(pattern, [{"name": "a"}, {"name": "b", "value": 2}], {"VALUE": 1})
+    assert [(m.name, m.query, list(m.tags)) for m in made] == [("m_a", "SELECT 1 AS v", ["a"]), ("m_b", "SELECT 2 AS v", ["b"])]
+    with pytest.raises(KeyError):
+        blueprints(pattern, [{}])
+    ctx = Context(spark, f"file://{tmp_path}", made, after_all=["CREATE OR REPLACE TEMP VIEW finished AS SELECT 2 AS two"])
+    ctx.apply(ctx.plan(now="2024-05-02"))
+    assert ctx.table("m_b").first()[0] == 2 and spark.table("seen").first()[0] == 1 and spark.table("finished").first()[0] == 2
+    assert "short_name" in ctx.lint({"short_name": lambda m: len(m.name) < 9})["m_a"]
