@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,8 +180,8 @@ def shorten(beside: DataFrame, text_at: int, extra: list[str], pairs: str, min_w
                     repeated &= ~np.isin(chunks.hash, different)
                 gone = removable(chunks, repeated, min_words)
                 raw = block.data.tobytes()
-                null = rows.column(text_at).is_null().to_pylist()
-                new = pa.array([None if z else t for t, z in zip(kept_texts(block, raw, chunks, gone), null, strict=True)], pa.string())
+                touched, texts = shortened_texts(block, raw, chunks, gone)
+                new = pc.replace_with_mask(rows.column(text_at), pa.array(touched), pa.array(texts, pa.string()))
                 out = [new if i == text_at else rows.column(i) for i in range(len(columns))]
                 counts = [np.bincount(chunks.text[gone], minlength=n), np.bincount(chunks.text[gone], chunks.words[gone], minlength=n).astype(np.int64)]
                 used = np.flatnonzero(gone | members(rows.column(len(columns) + 1), chunks, 0, n))
@@ -193,19 +194,16 @@ def shorten(beside: DataFrame, text_at: int, extra: list[str], pairs: str, min_w
     return beside.mapInArrow(run, f"{schema}, `{pairs}` array<struct<hash: bigint, bytes: binary>>")
 
 
-def kept_texts(block: ragged.Block, raw: bytes, chunks: Chunks, gone: np.ndarray) -> list[str]:
-    """The texts of a block without the chunks that go, each with the white space up to the next chunk."""
-    out = []
+def shortened_texts(block: ragged.Block, raw: bytes, chunks: Chunks, gone: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Which texts of a block lose chunks, and what is left of these: chunks go with the white space after them."""
+    touched = np.bincount(chunks.text[gone], minlength=len(block.starts)) > 0
     bounds = np.searchsorted(chunks.text, np.arange(len(block.starts) + 1))
-    touched = np.bincount(chunks.text[gone], minlength=len(block.starts))
-    for i, (a, b) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
-        if not touched[i]:
-            out.append(raw[a:b].decode())
-            continue
+    out = []
+    for i in np.flatnonzero(touched).tolist():
         lo, hi = bounds[i], bounds[i + 1]
         start, leave = chunks.start[lo:hi].tolist(), gone[lo:hi].tolist()
-        edge = [*start[1:], b]
-        parts = [raw[a : start[0]]] if not all(leave) else []
+        edge = [*start[1:], int(block.ends[i])]
+        parts = [raw[block.starts[i] : start[0]]] if not all(leave) else []
         parts += [raw[s:e] for s, e, g in zip(start, edge, leave, strict=True) if not g]
         out.append(b"".join(parts).decode())
-    return out
+    return touched, out
