@@ -574,7 +574,7 @@ def audit_mean_in_range(spark: SparkSession, lineitem: DataFrame) -> DataFrame:
 
 @query("""WITH r AS (SELECT c_nationkey AS a, c_custkey % 25 AS b FROM customer), n AS (SELECT count(*) AS n FROM r),
 p AS (SELECT a AS value, count(*) / (SELECT n FROM n) AS p FROM r GROUP BY 1), q AS (SELECT b AS value, count(*) / (SELECT n FROM n) AS q FROM r GROUP BY 1)
-SELECT p.value AS value, round(p * ln(p / q) + q * ln(q / p), 9) AS kl_divergence FROM p JOIN q ON p.value = q.value WHERE p * ln(p / q) + q * ln(q / p) > 0.0001""")
+SELECT CAST(p.value AS BIGINT) AS value, round(p * ln(p / q) + q * ln(q / p), 9) AS kl_divergence FROM p JOIN q ON p.value = q.value WHERE p * ln(p / q) + q * ln(q / p) > 0.0001""")
 def audit_kl_divergence(spark: SparkSession, customer: DataFrame) -> DataFrame:
     rows = customer.select(F.col("c_nationkey").cast("bigint").alias("a"), (F.col("c_custkey") % 25).alias("b"))
     return A.kl_divergence(rows, "a", "b", 0.0001).withColumn("kl_divergence", F.round("kl_divergence", 9))
