@@ -299,6 +299,19 @@ def test_long_passages_go_wherever_they_stand(spark):
         assert not any(" ".join(words[k : k + 51]) in out[i]["text"] for k in range(5)) and out[i]["removed_words"] >= line_dedup.MIN_WORDS
 
 
+def test_most_of_a_passage_of_51_words_goes_whatever_surrounds_it():
+    shares = []
+    for seed in range(400):
+        rng = random.Random(seed)
+        words = lambda kind, n: " ".join(f"{kind}{rng.randrange(10**7)}" for _ in range(n))  # noqa: B023, E731
+        passage = words("q", 51)
+        both = [" ".join([words("u", rng.randint(20, 60)), passage, words("v", rng.randint(20, 60))]) for _ in range(2)]
+        chunks = line_dedup.cut_chunks(next(ragged.blocks(pa.array(both))))
+        repeated = (chunks.text == 1) & np.isin(chunks.hash, chunks.hash[chunks.text == 0])
+        shares.append(chunks.words[line_dedup.removable(chunks, repeated, line_dedup.MIN_WORDS)].sum() / 51)
+    assert min(shares) > 0 and np.mean(np.array(shares) < 0.5) < 0.06 and np.mean(shares) > 0.7
+
+
 def test_chunks_of_equal_hash_and_other_bytes_stay(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, b"a"), (1, b"a"), (2, b"b"), (2, b"c")], "hash bigint, bytes binary")
     assert [r["hash"] for r in line_dedup.unequal_chunks(pairs).collect()] == [2]
