@@ -1,7 +1,8 @@
 """URL verdicts: host and path rules first, then the ratio of two character language models.
 
 The URLs that a rule allows or blocks are the examples of the accepted and the rejected model. Each model holds how
-often every string of up to ORDER + 1 characters occurs in its examples. A character's probability after a context is
+often every string of up to ORDER + 1 characters occurs in its examples: a written table with a row per string, which
+grows with the URLs and is joined to the strings of those to score, a block of URLs at a time. A character's probability after a context is
 the observed share, mixed with the probability after the context shortened by one character, the more the rarer the
 context is: the order varies with the evidence. A URL without a rule is judged by the difference of its two
 log-likelihoods divided by its length, against a threshold calibrated on examples that neither model has seen.
@@ -9,10 +10,9 @@ log-likelihoods divided by its length, against a threshold calibrated on example
 
 from __future__ import annotations
 
-import io
+import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
-from sparkmodel.llm.runtime import get_bytes, new_folder, put_bytes, ship
+from sparkmodel.llm.runtime import ship, written
 
-#: Characters of context at most; buckets of string counts (strings share a bucket by hash); weight of the shorter context.
-ORDER, BUCKETS, PRIOR = 5, 1 << 18, 2.0
+#: Characters of context at most; weight of the shorter context; bytes of URLs whose strings meet their counts together.
+ORDER, PRIOR, BLOCK = 5, 2.0, 1 << 18
 #: One in HELD examples is kept from the models, for the threshold. Scores are counted in steps of STEP up to +-RANGE.
 HELD, STEP, RANGE = 5, 0.005, 5.0
 
@@ -50,62 +50,47 @@ def by_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def string_buckets(block: ragged.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every character of a block and every order up to ORDER: bucket of the context, of context and character, and
+def string_keys(block: ragged.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every character of a block and every order up to ORDER: hash of the context, of context and character, and
     whether the context lies in the text (its start counts as one character); and each text's first character."""
-    data = block.data
     size = block.ends - block.starts
     first = np.concatenate(([0], np.cumsum(size)))[:-1]
     at = np.repeat(block.starts - first, size) + np.arange(int(size.sum()))
     start = np.repeat(block.starts - 1, size)
+    prefix = ragged.Prefix(block.data)
     context, whole, inside = [], [], []
     for order in range(ORDER + 1):
         low = np.maximum(at - order, start)
         tag = np.uint64((order + 1) * ragged.BASE % (1 << 64))
-        context.append((ragged.mix(ragged.slice_hashes(data, low, at) + tag) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64))
-        whole.append((ragged.mix(ragged.slice_hashes(data, low, at + 1) + tag + np.uint64(1)) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64))
+        context.append(ragged.mix(prefix.hashes(low, at) + tag).view(np.int64))
+        whole.append(ragged.mix(prefix.hashes(low, at + 1) + tag + np.uint64(1)).view(np.int64))
         inside.append(at - order >= start)
     return np.array(context), np.array(whole), np.array(inside), first
 
 
-class RatioModel:
-    """Counts by class (0 accepted, 1 rejected) and bucket of contexts and strings, and the threshold."""
-
-    def __init__(self, contexts: np.ndarray, strings: np.ndarray, threshold: float = 0.0):
-        self.contexts, self.strings, self.threshold = contexts, strings, threshold
-
-    def scores(self, block: ragged.Block) -> np.ndarray:
-        """Accepted minus rejected log-likelihood, divided by the length; 0 for an empty text."""
-        context, whole, inside, first = string_buckets(block)
-        size = block.ends - block.starts
-        out = np.zeros(len(size))
-        if not size.any():
-            return out
-        logs = []
-        for label in (0, 1):
-            p = np.full(context.shape[1], 1 / 256)
-            for order in range(ORDER + 1):
-                n = self.contexts[label][context[order]]
-                # a shared bucket may hold more strings than contexts: the share is at most 1
-                share = np.minimum(self.strings[label][whole[order]], n)
-                p = np.where(inside[order], (share + PRIOR * p) / (n + PRIOR), p)
-            logs.append(np.log(p))
-        some = np.flatnonzero(size)
-        out[some] = np.add.reduceat(logs[0] - logs[1], first[some]) / size[some]
-        return out
-
-
-@lru_cache(maxsize=2)
-def load_model(path: str) -> RatioModel:
-    with np.load(io.BytesIO(get_bytes(path))) as z:
-        return RatioModel(z["contexts"], z["strings"], float(z["threshold"]))
-
+def scores(block: ragged.Block, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Accepted minus rejected log-likelihood, divided by the length; 0 for an empty text.
 
-def save_model(model: RatioModel, folder: str, name: str) -> str:
-    out = io.BytesIO()
-    np.savez_compressed(out, contexts=model.contexts, strings=model.strings, threshold=model.threshold)
-    put_bytes(f"{folder}/{name}.npz", out.getvalue())
-    return f"{folder}/{name}.npz"
+    counts holds, by class (0 accepted, 1 rejected), how often each of the ascending keys occurs; a key that is not
+    there occurs nowhere.
+    """
+    context, whole, inside, first = string_keys(block)
+    size = block.ends - block.starts
+    out = np.zeros(len(size))
+    if not size.any():
+        return out
+    keys = np.concatenate((keys, [np.iinfo(np.int64).max]))
+    counts = np.concatenate((counts, np.zeros((2, 1))), axis=1)
+    p = np.full((2, context.shape[1]), 1 / 256)
+    for order in range(ORDER + 1):
+        at, at_whole = np.searchsorted(keys[:-1], context[order]), np.searchsorted(keys[:-1], whole[order])
+        n = np.where(keys[at] == context[order], counts[:, at], 0)
+        share = np.where(keys[at_whole] == whole[order], counts[:, at_whole], 0)
+        p = np.where(inside[order], (share + PRIOR * p) / (n + PRIOR), p)
+    some = np.flatnonzero(size)
+    logs = np.log(p)
+    out[some] = np.add.reduceat(logs[0] - logs[1], first[some]) / size[some]
+    return out
 
 
 def held_out(urls: pa.Array) -> np.ndarray:
@@ -113,44 +98,63 @@ def held_out(urls: pa.Array) -> np.ndarray:
 
 
 def count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Examples (url, label) outside the held-out part to (kind, label, bucket, n), added up within each batch."""
+    """Examples (url, label) outside the held-out part to (key, accepted, rejected), added up within each block."""
     for batch in batches:
         batch = batch.filter(pa.array(~held_out(batch.column(0))))
         labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for block in ragged.blocks(batch.column(0), 1 << 20):
-            context, whole, inside, _ = string_buckets(block)
+        for block in ragged.blocks(batch.column(0), BLOCK):
+            context, whole, inside, _ = string_keys(block)
             label = np.repeat(labels[block.first : block.first + len(block.starts)], block.ends - block.starts)
-            for kind, buckets in enumerate((context, whole)):
-                keys, n = np.unique((label[None, :] * BUCKETS + buckets)[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind)), pa.array(keys // BUCKETS), pa.array(keys % BUCKETS), pa.array(n.astype(np.int64))], names=["kind", "label", "bucket", "n"])
+            found = [np.unique(np.concatenate([k[:, label == y][inside[:, label == y]] for k in (context, whole)]), return_counts=True) for y in (0, 1)]
+            for y, (keys, n) in enumerate(found):
+                n, none = pa.array(n.astype(np.int64)), pa.array(np.zeros(len(keys), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *((none, n) if y else (n, none))], names=["key", "accepted", "rejected"])
+
+
+def string_counts(examples: DataFrame) -> DataFrame:
+    """Examples (url, label 0 accepted or 1 rejected) to (key, accepted, rejected), a row for every different string."""
+    rows = examples.mapInArrow(count_strings, "key bigint, accepted bigint, rejected bigint")
+    return rows.groupBy("key").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
+def number_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, url) to (block, id, url): the URLs of about BLOCK bytes of a batch have a random number in common."""
+    for batch in batches:
+        for block in ragged.blocks(batch.column(1), BLOCK):
+            rows = batch.slice(block.first, len(block.starts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), uuid.uuid4().int >> 65, np.int64)), *rows.columns], names=["block", "id", "url"])
 
 
-def fit_model(examples: DataFrame) -> str:
-    """Examples (url, label 0 accepted or 1 rejected) to the path of a model that all executors can load.
+def block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, url) to (block, key): every different string of a block's URLs, once for each batch that the block lies in."""
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)])) if len(numbers) else np.zeros(1, np.int64)
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for block in ragged.blocks(batch.column(1).slice(low, high - low), BLOCK):
+                context, whole, inside, _ = string_keys(block)
+                keys = np.unique(np.concatenate((context[inside], whole[inside])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), numbers[low])), pa.array(keys)], names=["block", "key"])
+
 
-    Every example is counted or, one in HELD, used for the threshold. What comes to the driver are the sums of at most
-    4 * BUCKETS counters and a histogram of fixed size, whatever the number of URLs.
+def score_urls(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, url, held, score) of written rows (block, id, url).
+
+    A string meets its counts once for each block, however many of the block's URLs hold it, so that the rows of a
+    string that stands in all URLs are as many as the blocks. Then the counts of a block's strings meet its URLs.
     """
-    spark = examples.sparkSession
-    folder = new_folder(spark, "url-model")
-    sums = examples.mapInArrow(count_strings, "kind bigint, label bigint, bucket bigint, n bigint").groupBy("kind", "label", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()
-    tables = np.zeros((2, 2, BUCKETS))
-    kind, label, bucket, n = (got.column(i).to_numpy() for i in range(4))
-    tables[kind, label, bucket] = n
-    model = RatioModel(tables[0], tables[1])
-    draft = save_model(model, folder, "draft")
-
-    def count_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(held_out(batch.column(0))))
-            got = [load_model(draft).scores(b) for b in ragged.blocks(batch.column(0), 1 << 20)]
-            step = np.floor(np.clip(np.concatenate(got) if got else np.empty(0), -RANGE, RANGE) / STEP).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), pa.array(step)], names=["label", "step"])
-
-    rows = examples.mapInArrow(count_scores, "label bigint, step bigint").groupBy("label", "step").agg(F.count(F.lit(1)).alias("n")).collect()
-    model.threshold = calibrated([(r["label"], r["step"], r["n"]) for r in rows])
-    return save_model(model, folder, "model")
+    keys = urls.select("block", "url").mapInArrow(block_keys, "block bigint, key bigint")
+    known = keys.join(counts.hint("merge"), "key").select("block", "key", "accepted", "rejected")
+    kind = urls.schema["id"].dataType.simpleString()
+
+    def run(rows: pa.Table, strings: pa.Table) -> pa.Table:
+        keys, where = np.unique(strings.column("key").to_numpy(), return_index=True)
+        counts = np.array([strings.column(c).to_numpy()[where] for c in ("accepted", "rejected")], np.float64)
+        url = rows.column("url").combine_chunks()
+        got = [scores(b, keys, counts) for b in ragged.blocks(url, BLOCK)]
+        return pa.Table.from_arrays([rows.column("id"), url, pa.array(held_out(url)), pa.array(np.concatenate(got))], names=["id", "url", "held", "score"])
+
+    return urls.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"id {kind}, url string, held boolean, score double")
 
 
 def calibrated(rows: list[tuple[int, int, int]]) -> float:
@@ -169,6 +173,18 @@ def calibrated(rows: list[tuple[int, int, int]]) -> float:
     return float(places[best] * STEP)
 
 
+def with_rules(urls: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """urls with host and path, and the rule and verdict of the longest rule that fits."""
+    host, path = host_and_path(F.col("url"))
+    urls = urls.select("*", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
+    return urls.select("*", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def label_of(verdict: str) -> Column:
+    return F.when(F.col(verdict) == "allow", 0).otherwise(1).cast("bigint").alias("label")
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict (allow or block), score.
 
@@ -177,23 +193,14 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_c
     0. Without any examples every score is 0 and the threshold too, so what has no rule is allowed. Repeated rows get
     a row each; other columns are ignored, whatever their names.
     """
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
     kind = pages.schema[id_col].dataType.simpleString()
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    host, path = host_and_path(F.col("url"))
-    base = base.select("id", "url", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
-    rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    examples = base.where("verdict IS NOT NULL").select("url", F.when(F.col("verdict") == "allow", 0).otherwise(1).cast("bigint").alias("label"))
-    where = fit_model(examples)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            model = load_model(where)
-            got = [model.scores(b) for b in ragged.blocks(batch.column(1), 1 << 20)]
-            score = np.concatenate(got) if got else np.empty(0)
-            own = np.where(score >= model.threshold, "allow", "block")
-            verdict = pa.array([r if r is not None else str(o) for r, o in zip(batch.column(5).to_pylist(), own, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:5], verdict, pa.array(score)], names=[id_col, "host", "path", "rule", "verdict", "score"])
-
-    return base.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, score double")
+    urls = written(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).mapInArrow(number_blocks, f"block bigint, id {kind}, url string"), "urls")
+    counts = written(string_counts(with_rules(urls, rules).where("verdict IS NOT NULL").select("url", label_of("verdict"))), "strings")
+    judged = with_rules(written(score_urls(urls, counts), "scores"), rules)
+    step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-RANGE)), F.lit(RANGE)) / STEP).alias("step")
+    steps = judged.where("held AND verdict IS NOT NULL").select(label_of("verdict"), step).groupBy("label", "step").agg(F.count(F.lit(1)).alias("n")).collect()
+    threshold = calibrated([(r["label"], r["step"], r["n"]) for r in steps])
+    own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")

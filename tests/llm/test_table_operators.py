@@ -1,7 +1,9 @@
 """Archives, mixing, embeddings, URLs, components: against plain versions and exact round trips."""
 
 import hashlib
+import math
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -238,6 +240,37 @@ def test_the_model_tells_the_classes_apart(spark):
     assert np.mean(right) > 0.9 and all(got[i]["rule"] is None for i, _ in fresh)
 
 
+def slow_scores(rows):
+    """Scores of (url, verdict of its rule) with a counter for every string, by the definitions in the module's docstring."""
+    counts = [{}, {}]
+    places = lambda u: [(u[i], [("\n" + u[:i])[i + 1 - o :] for o in range(min(url_filter.ORDER, i + 1) + 1)]) for i in range(len(u))]
+    for url, verdict in rows:
+        if verdict and zlib.crc32(url.encode()) % url_filter.HELD:
+            own = counts[verdict == "block"]
+            for key in [k for char, contexts in places(url) for c in contexts for k in ((c, ""), (c, char))]:
+                own[key] = own.get(key, 0) + 1
+    out = []
+    for url, _ in rows:
+        total = 0.0
+        for char, contexts in places(url):
+            for sign, own in zip((1, -1), counts, strict=True):
+                p = 1 / 256
+                for c in contexts:
+                    p = (own.get((c, char), 0) + url_filter.PRIOR * p) / (own.get((c, ""), 0) + url_filter.PRIOR)
+                total += sign * math.log(p)
+        out.append(total / len(url))
+    return out
+
+
+def test_every_string_has_a_counter_of_its_own(spark):
+    rng = random.Random(6)
+    make = lambda host: f"http://{host}/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(70))
+    urls = [make(rng.choice(["a.net/de", "b.com/en", "c.info"])) for _ in range(2500)]
+    got = {r["page_id"]: r["score"] for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}
+    expected = slow_scores([(u, slow_rule(*slow_parts(u))[1]) for u in urls])
+    assert [got[i] for i in range(len(urls))] == pytest.approx(expected, abs=1e-9)
+
+
 def test_calibration():
     assert url_filter.calibrated([]) == 0.0 and url_filter.calibrated([(0, 5, 3)]) == 0.0
     assert abs(url_filter.calibrated([(0, 40, 10), (1, -40, 10)])) <= 40 * url_filter.STEP
