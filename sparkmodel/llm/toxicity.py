@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from sparkmodel.llm import ragged
 from sparkmodel.llm.runtime import ship
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 12
+#: Training lays its windows farther apart: with them every 12 words the network finds fewer of the held-out toxic texts.
+TRAIN_STRIDE = 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 #: Sizes of the character n-grams in bytes, buckets for their vectors, and the most words with a vector of their own.
 GRAM_SIZES, GRAMS, VOCABULARY = (3, 5, 7), 1 << 15, 4096
@@ -86,17 +88,17 @@ def joined_words(parts: list[Words]) -> Words:
     return Words(distinct, grams, starts, np.concatenate([word[p.word + b] for p, b in zip(parts, before, strict=False)]), np.concatenate([p.first + b for p, b in zip(parts, words_before, strict=False)]), np.concatenate([p.count for p in parts]))
 
 
-def windows_of(count: np.ndarray) -> np.ndarray:
+def windows_of(count: np.ndarray, stride: int = STRIDE) -> np.ndarray:
     """Number of windows of texts with so many words; an empty text has one."""
-    return 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE))
+    return 1 + np.maximum(0, -(-(count - WINDOW) // stride))
 
 
-def lay_windows(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lay_windows(first: np.ndarray, count: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Positions (WINDOW, windows) of the words of all windows, -1 past a text's end; and each text's first window."""
-    n = windows_of(count)
+    n = windows_of(count, stride)
     start = np.concatenate(([0], np.cumsum(n)))[:-1]
     text = np.repeat(np.arange(len(n)), n)
-    at = (np.arange(int(n.sum())) - start[text]) * STRIDE
+    at = (np.arange(int(n.sum())) - start[text]) * stride
     at = at[None, :] + np.arange(WINDOW)[:, None]
     return np.where(at < count[text], first[text] + at, -1), start
 
@@ -242,7 +244,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32,
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):
             own = order[i : i + batch]
-            at, start = lay_windows(words.first[own], words.count[own])
+            at, start = lay_windows(words.first[own], words.count[own], TRAIN_STRIDE)
             index = np.where(at >= 0, words.word[at], -1)
             used, flat = np.unique(index, return_inverse=True)
             skip = int(used[0] == -1)

@@ -331,6 +331,14 @@ def test_windows_cover_every_word():
         assert index.shape[1] == toxicity.windows_of(np.array([n, 7])).sum()
 
 
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in range(0, 200):
+        index, _ = toxicity.lay_windows(np.array([0]), np.array([n]))
+        for size in range(1, min(n, toxicity.WINDOW // 2) + 1):
+            ends = index.max(axis=0)
+            assert all(any(index[0, w] <= at and at + size - 1 <= ends[w] for w in range(index.shape[1])) for at in range(n - size + 1))
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(9)
     net = toxicity.Network(np.zeros(0, np.uint64), seed=3)
