@@ -292,12 +292,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """At most `rows` labelled texts of each class outside the held-out fold, chosen by a hash of the id.
 
     The sample's bound is a parameter of the model, not of the data: it is what is sent to the driver, whatever the
-    size of the tables. Texts of over most_words * 12 bytes are not sent.
+    size of the tables. Texts of over most_words * 12 bytes are not sent; the rows are chosen among those with a text.
     """
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where(f"__y IN (0, 1) AND __id IS NOT NULL")
     own = own.groupBy("__id").agg(F.max("__y").alias("__y")).where(F.crc32(F.col("__id").cast("string")) % folds != 0)
-    few = [own.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows) for y in (0, 1)]
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= 12 * most_words)
+    own = own.join(texts.select("__id"), "__id", "left_semi")
+    few = [own.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows) for y in (0, 1)]
     found = texts.join(F.broadcast(few[0].union(few[1])), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
     got = sorted(found.collect(), key=lambda r: r["__id"])
     return [r["__text"] for r in got], [int(r["__y"]) for r in got]

@@ -390,6 +390,15 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), net).count() == 0
 
 
+def test_rows_without_a_usable_text_do_not_shrink_the_sample(spark):
+    ids = [i for i in range(200) if not toxicity.in_fold(i)]
+    long = {i: "vile " * 20 if i % 4 else None for i in ids if i % 3}
+    docs = spark.createDataFrame([(i, long.get(i, f"text {i}")) for i in ids if i % 9], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, toxic int")
+    texts, ys = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 5, 10, 5)
+    assert sorted(ys) == [0] * 10 + [1] * 10 and all(t.startswith("text ") for t in texts)
+
+
 def test_training_on_one_class_or_none():
     for labels, expected in (([], False), ([0, 0], False), ([1, 1], True)):
         net = toxicity.train(["some text", "other text"][: len(labels)], labels)
