@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Each block of training texts is one shard: its words become small integers (0: a word that no benchmark text holds),
-and a suffix array orders the places where a benchmark word stands by the words that follow. Every suffix of every
-benchmark text, cut at the window's length, is then found by binary search: the range of the suffix array that starts
-with it holds all its verbatim occurrences. Occurrences that follow one another in document and item join to the
+and a suffix array orders the places where a benchmark word stands by the words that follow. Every suffix of a
+benchmark text that holds a whole window, cut at the window's length, is then found by binary search: the range of the
+suffix array that starts with it holds all its verbatim occurrences. Shorter suffixes are not searched for, so matches
+start at the window's length, except those of a text that is shorter itself, which is searched for as a whole. Occurrences that follow one another in document and item join to the
 longest verbatim matches. The shards are independent, so nothing is shuffled.
 """
 
