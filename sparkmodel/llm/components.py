@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmodel.llm.runtime import drop_folder, written
+from sparkmodel.llm.runtime import drop_table, written
 
 
 class Forest:
@@ -59,7 +59,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
         then = written(canonical(small), "links")
         after = summary(then)
-        drop_folder(now.sparkSession, now)
+        drop_table(now)
         now = then
         if after == state:
             break

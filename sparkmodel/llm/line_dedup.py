@@ -1,10 +1,11 @@
 """Line dedup with content-defined chunks of lines.
 
 A text's lines are hashed; a line longer than WRAP words is wrapped at places that its own words choose, so that a
-passage put into the middle of a line falls into the same lines everywhere. A rolling hash over ROLL adjacent line
-hashes chooses chunk boundaries: where it is the smallest of REACH neighbours. Both choices depend on a few words
-around them only, so an insertion shifts no boundary further on, and chunks are never long. A chunk that also stands
-in a document with a smaller id is repeated; runs of repeated chunks are removed once their bytes have been compared.
+passage put into the middle of a line falls into the same lines everywhere, and equal lines are cut alike whatever
+stands around them. A rolling hash over ROLL adjacent line hashes chooses chunk boundaries: where it is the smallest of
+REACH neighbours. Both choices depend on a few words around them only, so an insertion shifts no boundary further on,
+and chunks are never long. A chunk that also stands in a document with a smaller id is repeated; runs of repeated
+chunks are removed once their bytes have been compared.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
-from sparkmodel.llm.runtime import drop_folder, release, ship, written
+from sparkmodel.llm.runtime import drop_table, ship, skewed_join, written
 
 WRAP, ROLL, REACH = 6, 2, 3
 #: A run of repeated chunks of fewer words stays: it is a phrase or a single line that texts share by right.
@@ -45,15 +46,15 @@ def cut_chunks(block: ragged.Block) -> Chunks:
     if not len(starts):
         none = np.empty(0, np.int64)
         return Chunks(none, none, none, none, none, np.empty(0, bool))
-    prefix = ragged.Prefix(data)
+    spans = ragged.WordSpans(data, starts, ends)
     text = ragged.owner(block.starts, starts)
-    breaks = np.concatenate(([0], np.cumsum(data == 10)))
-    after = np.concatenate((starts[1:], [len(data)]))
-    line_end = ragged.winnow(prefix.hashes(starts, ends), WRAP, text) | (breaks[after] > breaks[ends])
+    # a line break also stands between two texts, so its number tells the physical lines of all texts apart
+    line_of = np.searchsorted(np.flatnonzero(data == 10), starts)
+    line_end = ragged.winnow(spans.words(), WRAP, line_of) | np.concatenate((line_of[1:] != line_of[:-1], [True]))
     last = np.flatnonzero(line_end)
     first = np.concatenate(([0], last[:-1] + 1))
     line_text = text[first]
-    line = prefix.hashes(starts[first], ends[last])
+    line = spans.hashes(first, last)
     rolling = line.copy()
     for step in range(1, ROLL):
         own = np.flatnonzero(line_text[step:] == line_text[:-step])
@@ -63,7 +64,7 @@ def cut_chunks(block: ragged.Block) -> Chunks:
     chunk_first = np.concatenate(([0], chunk_last[:-1] + 1))
     a, b = starts[first[chunk_first]], ends[last[chunk_last]]
     text = line_text[chunk_first]
-    hashes = prefix.hashes(a, b).view(np.int64)
+    hashes = spans.hashes(first[chunk_first], last[chunk_last]).view(np.int64)
     # chunks are in the order of their texts, so a stable sort by hash puts the repeats within a text side by side
     order = np.argsort(hashes, kind="stable")
     again = np.zeros(len(a), bool)
@@ -90,11 +91,11 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_chunks(rows: DataFrame) -> DataFrame:
     """(id, cut, own): by document the chunks that a smaller id holds too, and those for which it is the smallest.
 
-    The smallest id and the number of rows of a chunk are aggregated before the shuffle. Chunks then meet their
-    smallest id in a join; where a chunk stands in a third of all documents, adaptive execution splits its rows.
+    The smallest id and the number of rows of a chunk are aggregated before the shuffle. A chunk's rows then meet its
+    smallest id, where they lie if it is a frequent one. `rows` is a written table.
     """
-    least = rows.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "least")
-    pairs = rows.join(least, "hash").select("id", "hash", F.col("id").eqNullSafe(F.col("least")).alias("first"))
+    least = rows.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = skewed_join(rows, least, "hash", "n", rows.count()).select("id", "hash", F.col("id").eqNullSafe(F.col("least")).alias("first"))
     return pairs.groupBy("id").agg(F.collect_list(F.when(~F.col("first"), F.col("hash"))).alias("cut"), F.collect_list(F.when(F.col("first"), F.col("hash"))).alias("own"))
 
 
@@ -134,30 +135,30 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id all keep it. A null id is larger than any other. What is removed goes up to the next word that stays;
     all else stays byte for byte. Null texts stay null, empty ones empty; a text of which nothing is left is an empty
     text, so no row is dropped. Columns are those of docs, with any extra ones; an empty table gives an empty result.
+    A very long text is cut as a whole; a worker needs some 20 bytes for each of its bytes.
 
     The texts are cut, and beside them the bytes of all chunks that were removed or are the kept first copy are
     written. If these show chunks of one hash and different bytes, the texts are cut again without removing those.
     """
-    spark = docs.sparkSession
     columns = docs.columns
     rows = written(chunk_rows(docs, id_col, text_col), "chunks")
-    lists = written(repeated_chunks(rows), "repeated")
-    drop_folder(spark, rows)
-    release(spark)
+    repeated = written(repeated_chunks(rows), "repeated")
+    drop_table(rows)
     names = []
     for name in ("cut", "own", "id", "pairs"):
         while name in columns:
             name += "_"
         names.append(name)
     cut, own, key, pairs = names
-    lists = lists.toDF(key, cut, own)
-    beside = docs.join(lists.hint("shuffle_hash"), docs[f"`{id_col}`"].eqNullSafe(lists[key]), "left").select(*[docs[f"`{c}`"] for c in columns], cut, own)
+    lists = repeated.toDF(key, cut, own)
+    beside = docs.join(lists, docs[f"`{id_col}`"].eqNullSafe(lists[key]), "left").select(*[docs[f"`{c}`"] for c in columns], cut, own)
     extra = [n for n in ("removed_chunks", "removed_words") if report]
     shortened = written(shorten(beside, columns.index(text_col), extra, pairs, min_words, []), "shortened")
-    release(spark)
     different = [r["hash"] for r in unequal_chunks(shortened.select(F.explode(pairs).alias("p")).select("p.*")).toLocalIterator()]
     if different:
-        shortened = shorten(beside, columns.index(text_col), extra, pairs, min_words, different)
+        drop_table(shortened)
+        shortened = written(shorten(beside, columns.index(text_col), extra, pairs, min_words, different), "shortened")
+    drop_table(repeated)
     return shortened.select(*[f"`{c}`" for c in columns], *extra)
 
 

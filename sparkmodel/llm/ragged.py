@@ -13,6 +13,8 @@ BLOCK_BYTES = 960_000
 #: An odd multiplier has an inverse modulo 2**64, so that the hash of any slice follows from two prefix sums.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes whose prefix sums are held at once.
+PIECE = 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -80,12 +82,17 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:
             out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
             done *= 2
-        if size > 1 << 24:
-            return out[:n]
         _powers[base] = have = out
     return have[:n]
 
 
+def power_at(base: int, exponents: np.ndarray) -> np.ndarray:
+    """base**exponent modulo 2**64 of each exponent, from two short tables."""
+    low, high = exponents & 0xFFFF, exponents >> 16
+    far = powers(pow(base, 1 << 16, 1 << 64), int(high.max()) + 1 if len(high) else 1)
+    return powers(base, 1 << 16)[low] * far[high]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose every output bit depends on all input bits."""
     x = x ^ (x >> np.uint64(32))
@@ -96,7 +103,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Hashes of any slices of data, from prefix sums of byte * BASE**position."""
+    """Hashes of any slices of data, from prefix sums of byte * BASE**position. For data of bounded length."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.empty(len(data) + 1, np.uint64)
@@ -109,8 +116,40 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
+class WordSpans:
+    """Hashes of slices that begin and end with one of the ascending words data[starts[i]:ends[i]].
+
+    The prefix sums are formed PIECE bytes at a time and kept at the words only, so that a text of any length takes
+    some bytes for each of its words and none for each of its bytes. Hashes are those of Prefix.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.before, self.after = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        carry = 0
+        for low in range(0, len(data), PIECE):
+            part = data[low : low + PIECE]
+            sums = np.empty(len(part) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(part)), out=sums[1:])
+            sums = sums * np.uint64(pow(BASE, low, 1 << 64)) + np.uint64(carry)
+            a, b = np.searchsorted(starts, (low, low + len(part)))
+            self.before[a:b] = sums[starts[a:b] - low]
+            a, b = np.searchsorted(ends, (low + 1, low + len(part) + 1))
+            self.after[a:b] = sums[ends[a:b] - low]
+            carry = int(sums[-1])
+        self.inverse = power_at(BASE_INVERSE, starts)
+
+    def words(self) -> np.ndarray:
+        return mix((self.after - self.before) * self.inverse)
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the bytes from each word `first` to the end of the word `last`."""
+        return mix((self.after[last] - self.before[first]) * self.inverse[first])
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Prefix(data).hashes(starts, ends)
+    """A 64-bit hash of each of the ascending words data[start:end]."""
+    return WordSpans(data, starts, ends).words()
 
 
 def winnow(values: np.ndarray, window: int, group: np.ndarray) -> np.ndarray:
