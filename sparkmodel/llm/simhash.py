@@ -1,9 +1,10 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are compared exactly: exclusive-or and bit counts over tiles of a numpy array, and pairs of tiles whose
-population counts are further apart than the radius are skipped. So that the work does not grow with the square of the
-corpus, tiles are only laid over fingerprints that agree on some blocks of bits: if at most `radius` bits differ, then
-of radius + k equal blocks at least k agree, so comparing inside every choice of k blocks loses no pair.
+Fingerprints are compared exactly: exclusive-or and bit counts over tiles of a numpy array that is sorted by group and
+population count, and pairs of tiles without a common group, or whose population counts are further apart than the
+radius, are skipped. So that the work does not grow with the square of the corpus, fingerprints only share a group if
+they agree on some blocks of bits: if at most `radius` bits differ, then of radius + k equal blocks at least k agree, so
+comparing inside every choice of k blocks loses no pair.
 """
 
 from __future__ import annotations
@@ -20,39 +21,71 @@ from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
 from sparkmodel.llm.components import Forest, components
-from sparkmodel.llm.runtime import lookup_join, ship, written
+from sparkmodel.llm.runtime import drop_table, lookup_join, ship, skewed_join, written
 
-#: Rows of a tile; fingerprints of one bit choice beyond GROUP are dealt over several tasks by population count.
-TILE, GROUP = 512, 20_000
+#: Rows of a tile; pairs of tiles that are compared at once; fingerprints of one bit choice beyond GROUP are dealt over
+#: several tasks by population count.
+TILE, TILES, GROUP = 64, 512, 20_000
 SEED = 42
+#: Shingles of a text that are hashed at once.
+SHINGLES = 1 << 16
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def shingle_hashes(tokens: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of the space-joined shingles of some tokens; fewer tokens than a shingle are one, no tokens none."""
+    digest, joined, n = xxhash.xxh64_intdigest, b" ".join(tokens), len(tokens)
+    if n <= shingle:
+        return [digest(joined, SEED)] if n else []
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - shingle] + 1))
+    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def bit_counts(hashes: list[int], sizes: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in consecutive runs of `sizes` (at least 1) hashes."""
+    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+
+
+def long_text_counts(text: bytes, shingle: int) -> tuple[np.ndarray, int]:
+    """(bit counts, shingles) of one long text, SHINGLES of them at a time: the memory is that of the text."""
+    starts, ends = ragged.words(np.frombuffer(text, np.uint8), ~SPACE)
+    ones, n = np.zeros(64, np.int64), max(1, len(starts) - shingle + 1) if len(starts) else 0
+    for at in range(0, n, SHINGLES):
+        last = min(at + SHINGLES, n) + shingle - 2
+        hashes = shingle_hashes(text[starts[at] : ends[min(last, len(ends) - 1)]].lower().split(), shingle)
+        ones += bit_counts(hashes, np.array([len(hashes)]))[0]
+    return ones, n
 
 
 def text_fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     """One unsigned 64-bit fingerprint per UTF-8 text: the majority of each bit over the XXH64 of its shingles."""
-    digest = xxhash.xxh64_intdigest
-    hashes, sizes = [], []
-    for text in texts:
-        tokens = text.lower().split()
-        joined = b" ".join(tokens)
-        n = len(tokens)
-        if n <= shingle:
-            hashes += [digest(joined, SEED)] if n else []
-            sizes.append(min(n, 1))
+    ones, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    hashes: list[int] = []
+    for i, text in enumerate(texts):
+        if len(text) > ragged.BLOCK_BYTES:
+            ones[i], sizes[i] = long_text_counts(text, shingle)
             continue
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - shingle] + 1))
-        hashes += [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-        sizes.append(n - shingle + 1)
-    size = np.array(sizes, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(size)
-    if not len(some):
-        return out
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at = np.concatenate(([0], np.cumsum(size[some])[:-1]))
-    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    out[some] = np.packbits(2 * ones > size[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        own = shingle_hashes(text.lower().split(), shingle)
+        sizes[i] = len(own)
+        hashes += own
+    short = np.array([0 < n and len(t) <= ragged.BLOCK_BYTES for n, t in zip(sizes, texts, strict=True)], bool)
+    if short.any():
+        ones[short] = bit_counts(hashes, sizes[short])
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def column_fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
+    """The fingerprints of a string column as signed numbers, a block of bounded size at a time."""
+    ends = np.cumsum(np.diff(ragged.flat(text)[1]))
+    out, at = [], 0
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ragged.BLOCK_BYTES, "right")))
+        out.append(text_fingerprints([t or b"" for t in text.slice(at, end - at).cast(pa.binary()).to_pylist()], shingle))
+        at = end
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -62,15 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1)
-            ends = np.cumsum(np.diff(ragged.flat(text)[1]))
-            out, at = [], 0
-            while at < len(text):
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ragged.BLOCK_BYTES, "right")))
-                out.append(text_fingerprints([t or b"" for t in text.slice(at, end - at).cast(pa.binary()).to_pylist()], shingle))
-                at = end
-            fp = np.concatenate(out) if out else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(column_fingerprints(batch.column(1), shingle))], names=[id_col, "fp"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
 
@@ -90,59 +115,46 @@ def block_masks(rows: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(blocks, k)]
 
 
-def tile_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (member, root) that join each connected set of one group of distinct fingerprints."""
-    ones = np.bitwise_count(fp)
-    order = np.argsort(ones, kind="stable")
-    x, ones = fp[order], ones[order].astype(np.int64)
-    forest = Forest(len(x))
-    for i in range(0, len(x), TILE):
-        a = x[i : i + TILE]
-        for j in range(i, len(x), TILE):
-            if ones[j] - ones[min(i + TILE, len(x)) - 1] > radius:
-                break
-            near = np.bitwise_count(a[:, None] ^ x[None, j : j + TILE]) <= radius
-            p, q = np.nonzero(near)
-            p, q = p + i, q + j
-            later = q > p
+def tile_links(keys: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (member, root) that join each connected set of the fingerprints of each key.
+
+    The rows are laid into tiles in the order of key and population count, many small keys to a tile. A tile is compared
+    with itself and with those after it, as long as its last key reaches into them and their least population count of
+    this key lies within the radius of its largest one.
+    """
+    bits = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((bits, keys))
+    n, tiles = len(order), -(-len(order) // TILE)
+    # the places past the end repeat the last row; pairs with them are left out
+    place = np.minimum(np.arange(tiles * TILE), max(n - 1, 0)).reshape(tiles, TILE)
+    x, k, ones = fp[order][place], keys[order][place], bits[order][place]
+    forest = Forest(n)
+    left, step = np.arange(tiles), 0
+    while len(left):
+        for at in range(0, len(left), TILES):
+            i = left[at : at + TILES]
+            j = i + step
+            near = np.bitwise_count(x[i][:, :, None] ^ x[j][:, None, :]) <= radius
+            near &= k[i][:, :, None] == k[j][:, None, :]
+            t, p, q = np.nonzero(near)
+            p, q = i[t] * TILE + p, j[t] * TILE + q
+            later = (p < q) & (q < n)
             forest.join(p[later], q[later])
+        step += 1
+        left = left[left + step < tiles]
+        left = left[(k[left, -1] == k[left + step, 0]) & (ones[left + step, 0] - ones[left, -1] <= radius)]
     root = forest.labels()
-    member = np.flatnonzero(root != np.arange(len(root)))
+    member = np.flatnonzero(root != np.arange(n))
     return order[member], order[root[member]]
 
 
-def small_links(keys: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions within the radius inside the (small) groups of equal, adjacent keys."""
-    left, right = [], []
-    live, step = np.arange(len(keys)), 1
-    while len(live):
-        live = live[live + step < len(keys)]
-        live = live[keys[live] == keys[live + step]]
-        near = live[np.bitwise_count(fp[live] ^ fp[live + step]) <= radius]
-        left.append(near + step)
-        right.append(near)
-        step += 1
-    return np.concatenate(left or [live]), np.concatenate(right or [live])
-
-
 def group_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Rows (k, fp) sorted by k to links (a, b) of fingerprints; a group is worked on once its last row has come."""
     held = (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def links(keys: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        bits = fp.view(np.uint64)
-        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        size = np.diff(cut)
-        small = np.repeat(size <= 64, size)
-        at = np.flatnonzero(small)
-        p, q = small_links(keys[at], bits[at], radius)
-        a, b = [fp[at[p]]], [fp[at[q]]]
-        for g in np.flatnonzero(size > 64):
-            own = fp[cut[g] : cut[g + 1]]
-            p, q = tile_links(own.view(np.uint64), radius)
-            a.append(own[p])
-            b.append(own[q])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        member, root = tile_links(keys, fp.view(np.uint64), radius)
+        return pa.RecordBatch.from_arrays([pa.array(fp[member]), pa.array(fp[root])], names=["a", "b"])
 
     for batch in batches:
         keys = np.concatenate((held[0], batch.column(0).to_numpy(zero_copy_only=False)))
@@ -182,13 +194,19 @@ def fingerprint_links(distinct: DataFrame, radius: int, group: int = GROUP) -> D
 
 
 def fingerprint_components(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
-    """(fp, root, component) of each distinct fingerprint: its set's smallest fingerprint and smallest document id."""
-    least = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
+    """(fp, root, component, n) of each distinct fingerprint, as a written table.
+
+    root and component are its set's smallest fingerprint and smallest document id, n the number of its rows.
+    """
+    least = written(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "prints")
     sets = written(components(fingerprint_links(least.select("fp"), radius)), "sets")
     linked = least.join(sets.withColumnRenamed("node", "fp"), "fp")
     of_set = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(of_set, "root").select("fp", "root", "component")
-    return least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"))
+    found = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"), "n")
+    found = written(found, "groups")
+    drop_table(least, sets)
+    return found
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -198,11 +216,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     XXH64 (seed 42), repeats included. Fewer words than a shingle make one shingle; null and empty texts have
     fingerprint 0 and are linked like any other. Equal fingerprints are compared once, whatever their number. A null
     id gets a row but is never a component's id unless all its ids are null. Repeated rows get a row each.
-    Other columns are ignored, whatever their names; an empty table gives an empty result.
+    Other columns are ignored, whatever their names; an empty table gives an empty result. The shingles of a very long
+    text are hashed some at a time, so that the memory is a few times that of the text.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    found = fingerprint_components(prints, id_col, radius)
-    return prints.join(found, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    prints = written(fingerprints(docs, id_col, text_col, shingle).toDF("id", "fp"), "fingerprints")
+    rows = skewed_join(prints, fingerprint_components(prints, "id", radius), "fp", "n", prints.count())
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -210,14 +229,17 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Where no id is repeated the kept ids select the rows. Otherwise rows are told apart by their fingerprint as well,
     and of rows that repeat both, one stays. In a group whose ids are all null, a row with the smallest fingerprint
-    stays. An empty table gives an empty result.
+    stays. Null, empty and very long texts, extra columns and empty tables are as in simhash_groups.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle).toDF("__id", "fp"), "fingerprints")
     found = fingerprint_components(prints, "__id", radius)
-    kept = prints.join(found, "fp").where("__id <=> component").groupBy("root").agg(F.min_by("__id", "fp").alias("__id"), F.min("fp").alias("__fp"))
+    of_row = skewed_join(prints, found, "fp", "n", prints.count())
+    kept = of_row.where("__id <=> component").groupBy("root").agg(F.min_by("__id", "fp").alias("__id"), F.min("fp").alias("__fp"))
     kept = written(kept.select("__id", "__fp"), "kept")
-    if prints.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        own = kept.select("__id").hint("shuffle_hash")
+    alone = prints.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    drop_table(prints, found)
+    if alone:
+        own = kept.select("__id")
         return docs.join(own, docs[f"`{id_col}`"].eqNullSafe(own["__id"]), "left_semi")
     tag = "__fp_of_row"
     while tag in docs.columns:
@@ -234,15 +256,7 @@ def fingerprints_beside(docs: DataFrame, id_col: str, text_col: str, shingle: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(at)
-            ends = np.cumsum(np.diff(ragged.flat(text)[1]))
-            out, first = [], 0
-            while first < len(text):
-                end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ragged.BLOCK_BYTES, "right")))
-                out.append(text_fingerprints([t or b"" for t in text.slice(first, end - first).cast(pa.binary()).to_pylist()], shingle))
-                first = end
-            fp = np.concatenate(out) if out else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, tag])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column_fingerprints(batch.column(at), shingle))], names=[*batch.schema.names, tag])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{tag}` bigint"])
     return docs.mapInArrow(run, schema)
