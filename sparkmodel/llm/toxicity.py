@@ -28,8 +28,11 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 GRAM_SIZES, GRAMS, VOCABULARY = (3, 5, 7), 1 << 15, 4096
 #: Windows that run through the network together.
 BATCH = 4096
-#: The documented bound of the training sample: rows of each class, and words of a row.
-SAMPLE_ROWS, SAMPLE_WORDS = 1200, 1500
+#: The documented bound of the training sample: rows of each class, and windows of a row. Of a longer row so many windows,
+#: drawn by hash from the whole text, stand for it.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 1200, 400
+#: Windows of a very long text that are scored together.
+PIECE_WINDOWS = 8000
 
 EDGE = max(GRAM_SIZES) // 2
 #: Odd multipliers, by distance and side, of the bytes around an n-gram's centre.
@@ -221,11 +224,15 @@ class Network:
         return np.maximum.reduceat(logits, start)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Network:
-    """Fit by Adam; a text's log-odds in training are the log-sum-exp over its windows, a smooth maximum."""
+def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7, owner: list[int] | None = None) -> Network:
+    """Fit by Adam; a text's log-odds in training are the log-sum-exp over its windows, a smooth maximum.
+
+    A text may come in pieces: `owner` then gives each piece's place in labels, in ascending order.
+    """
     nothing = ragged.Block(0, np.full(1, 10, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
     words = joined_words([read_words(b) for b in ragged.blocks(pa.array(texts, pa.string()))] or [read_words(nothing)])
-    seen = np.unique(np.repeat(np.arange(len(texts)), words.count) * np.int64(len(words.hashes) or 1) + words.word) % (len(words.hashes) or 1)
+    of_piece = np.arange(len(texts)) if owner is None else np.array(owner, np.int64)
+    seen = np.unique(np.repeat(of_piece, words.count) * np.int64(len(words.hashes) or 1) + words.word) % (len(words.hashes) or 1)
     often = np.bincount(seen, minlength=len(words.hashes))
     frequent = np.flatnonzero(often >= 5)
     frequent = frequent[np.argsort(-often[frequent], kind="stable")][:VOCABULARY]
@@ -238,13 +245,18 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32,
     rng = np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
-    step, total = 0, epochs * -(-len(texts) // batch)
+    step, total = 0, epochs * -(-len(labels) // batch)
     size = np.diff(np.concatenate((words.gram_starts, [len(words.grams)])))
+    laid, first_window = lay_windows(words.first, words.count, TRAIN_STRIDE)
+    of_window = np.repeat(of_piece, np.diff(np.concatenate((first_window, [laid.shape[1]]))))
+    from_window = np.searchsorted(of_window, np.arange(len(labels) + 1))
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(labels))
         for i in range(0, len(order), batch):
             own = order[i : i + batch]
-            at, start = lay_windows(words.first[own], words.count[own], TRAIN_STRIDE)
+            n = from_window[own + 1] - from_window[own]
+            start = np.cumsum(n) - n
+            at = laid[:, np.repeat(from_window[own] - start, n) + np.arange(int(n.sum()))]
             index = np.where(at >= 0, words.word[at], -1)
             used, flat = np.unique(index, return_inverse=True)
             skip = int(used[0] == -1)
@@ -252,7 +264,6 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32,
             part = sub_words(words, used, size)
             vectors, row = net.inputs(part)
             logit, kept = net.forward(vectors, index, keep=True)
-            n = np.diff(np.concatenate((start, [len(logit)])))
             top = np.maximum.reduceat(logit, start)
             e = np.exp(logit - np.repeat(top, n))
             total_e = np.add.reduceat(e, start)
@@ -288,31 +299,79 @@ def in_fold(doc_id: int | None, folds: int = 5) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % folds == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, rows: int, most_words: int) -> tuple[list[str], list[int]]:
-    """At most `rows` labelled texts of each class outside the held-out fold, chosen by a hash of the id.
-
-    The sample's bound is a parameter of the model, not of the data: it is what is sent to the driver, whatever the
-    size of the tables. Texts of over most_words * 12 bytes are not sent; the rows are chosen among those with a text.
+def drawn_windows(text: str, most: int) -> list[str]:
+    """The text itself, or of one with more than `most` training windows so many, drawn by hash and in their order."""
+    block = next(ragged.blocks(pa.array([text], pa.string())))
+    data = LOWER[block.data]
+    starts, ends = ragged.words(data, IS_WORD)
+    n = int(windows_of(np.array([len(starts)]), TRAIN_STRIDE)[0])
+    if n <= most:
+        return [text]
+    first = np.arange(n) * TRAIN_STRIDE
+    last = np.minimum(first + WINDOW, len(starts)) - 1
+    lot = ragged.mix(ragged.WordSpans(data, starts, ends).hashes(first, last) + np.arange(n, dtype=np.uint64))
+    chosen = np.sort(np.argsort(lot, kind="stable")[:most])
+    return [block.data[starts[first[w]] : ends[last[w]]].tobytes().decode() for w in chosen.tolist()]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, rows: int, windows: int) -> tuple[list[str], list[int], list[int]]:
+    """(pieces of text, label of each row, row of each piece) of at most `rows` labelled texts of each class.
+
+    They are chosen by a hash of the id among those outside the held-out fold that have a text. The sample's bounds are
+    parameters of the model, not of the data: they say what is sent to the driver, whatever the size of the tables. A
+    text of more than `windows` windows is not left out: windows drawn from the whole of it stand for it.
     """
     own = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where(f"__y IN (0, 1) AND __id IS NOT NULL")
     own = own.groupBy("__id").agg(F.max("__y").alias("__y")).where(F.crc32(F.col("__id").cast("string")) % folds != 0)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.octet_length("__text") <= 12 * most_words)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__text IS NOT NULL")
     own = own.join(texts.select("__id"), "__id", "left_semi")
     few = [own.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows) for y in (0, 1)]
     found = texts.join(F.broadcast(few[0].union(few[1])), "__id").groupBy("__id").agg(F.min("__text").alias("__text"), F.first("__y").alias("__y"))
-    got = sorted(found.collect(), key=lambda r: r["__id"])
-    return [r["__text"] for r in got], [int(r["__y"]) for r in got]
 
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (text, y) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                pieces = drawn_windows(text.as_py(), windows)
+                row = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(pieces), np.int64)))
+                yield pa.RecordBatch.from_arrays([row, pa.array([int(y)] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=["id", "y", "piece", "text"])
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Network:
-    return train(*training_rows(docs, labels, id_col, text_col, label_col, folds, sample_rows, sample_words))
+    ship(docs.sparkSession)
+    got = found.mapInArrow(draw, f"id {found.schema['__id'].dataType.simpleString()}, y int, piece int, text string").collect()
+    got.sort(key=lambda r: (r["id"], r["piece"]))
+    place = {x: i for i, x in enumerate(dict.fromkeys(r["id"] for r in got))}
+    return [r["text"] for r in got], [r["y"] for r in got if r["piece"] == 0], [place[r["id"]] for r in got]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> Network:
+    """The network trained on the bounded sample that training_rows describes. Without two classes every score is the same."""
+    texts, ys, owner = training_rows(docs, labels, id_col, text_col, label_col, folds, sample_rows, sample_windows)
+    return train(texts, ys, owner=owner)
+
+
+def pieces(block: ragged.Block) -> Iterator[ragged.Block]:
+    """A block; a single text of more than PIECE_WINDOWS windows in pieces that have these windows between them."""
+    if len(block.starts) > 1 or len(block.data) < PIECE_WINDOWS * STRIDE:
+        yield block
+        return
+    starts, ends = ragged.words(LOWER[block.data], IS_WORD)
+    n = int(windows_of(np.array([len(starts)]))[0])
+    if n <= PIECE_WINDOWS:
+        yield block
+        return
+    for w in range(0, n, PIECE_WINDOWS):
+        last = len(starts) if w + PIECE_WINDOWS >= n else (w + PIECE_WINDOWS - 1) * STRIDE + WINDOW
+        data = np.concatenate(([10], block.data[starts[w * STRIDE] : ends[last - 1]], [10])).astype(np.uint8)
+        yield ragged.Block(block.first, data, np.array([1]), np.array([len(data) - 1]))
 
 
 def scorer(net: Network, at: int):  # noqa: ANN201
     """Scores in [0, 1] of the texts in column `at` of a batch."""
 
     def scores(batch: pa.RecordBatch) -> np.ndarray:
-        out = [net.score(read_words(b)) for b in ragged.blocks(batch.column(at), ragged.BLOCK_BYTES)]
+        out = []
+        for block in ragged.blocks(batch.column(at)):
+            found = [net.score(read_words(p)) for p in pieces(block)]
+            out.append(found[0] if len(found) == 1 else np.max(found, axis=0))
         return sigmoid(np.concatenate(out).astype(np.float64)) if out else np.empty(0)
 
     return scores
@@ -322,7 +381,9 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
     """One row per document: id, held_out, score (0 to 1), predicted (1 if score >= 0.5, else 0).
 
     Every whole text is scored; null and empty texts have one window without words, whose score is the network's bias.
-    Only the text enters a score. Repeated rows get a row each; other columns are ignored, whatever their names.
+    Only the text enters a score. Repeated rows get a row each; other columns are ignored, whatever their names; a null
+    id is the text 'null' to the fold; an empty table gives an empty result. A very long text is scored PIECE_WINDOWS
+    windows at a time, with the score of all its windows.
     Without a shuffle: the network (some 100 kB) goes to the executors, each partition is scored by itself.
     """
     ship(docs.sparkSession)
@@ -339,7 +400,7 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with their columns as they are."""
+    """The documents that score below the threshold, with their columns as they are. Texts are as in score_toxicity."""
     ship(docs.sparkSession)
     scores = scorer(net, docs.columns.index(text_col))
 
