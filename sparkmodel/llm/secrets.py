@@ -2,13 +2,16 @@
 
 Every text is scanned for credentials of fixed forms (the base kinds) and for other strings that may be credentials.
 The value of each candidate is hashed, and over the whole corpus the hashes are counted by distinct repositories and
-distinct owners. A value that many owners hold is an example that is copied around; one that stays with its owner
-looks live. Base spans always stay; a span of another kind is a finding only if its value is not widely copied.
+distinct owners. A value that many owners hold, or that several owners hold in many repositories, is an example that is
+copied around; one that stays with its owner looks live, in however many repositories of theirs. Base spans always
+stay; a span of another kind is a finding only if its value is not widely copied.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -23,8 +26,8 @@ from sparkmodel.llm.runtime import lookup_join, ship, written
 
 #: Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "vendor", "random")
-#: A value that this many owners hold counts as widely copied.
-COPIED_OWNERS = 3
+#: A value that this many owners hold, or two owners or more in this many repositories, counts as widely copied.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
 #: Base kinds: fixed values of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -32,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 #: Further kinds.
 PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
-WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 VENDOR = re.compile(r"(?:gh[pousr]_|xox[abprs]-|sk_live_|rk_live_|glpat-|AIza)[A-Za-z0-9_-]{16,}")
 RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 #: Bits a character that a string of the last kind needs; it must mix lower case, upper case and digits as well.
@@ -68,10 +71,13 @@ def further_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tupl
         v = m[0]
         if any(c.islower() for c in v) and any(c.isupper() for c in v) and any(c.isdigit() for c in v) and entropy(v) >= ENTROPY:
             out.append((m.start(), 6, m.end(), v))
-    taken, kept = list(base), []
+    # a span meets a base span if of those that start before its end one ends after its start
+    starts = [b[0] for b in base]
+    ends = [0, *itertools.accumulate((b[2] for b in base), max)]
+    kept, upto = [], 0
     for span in sorted(out):
-        if not any(s < span[2] and span[0] < e for s, _, e, _ in taken):
-            taken.append(span)
+        if span[0] >= upto and ends[bisect.bisect_left(starts, span[2])] <= span[0]:
+            upto = span[2]
             kept.append(span)
     return kept
 
@@ -119,17 +125,20 @@ def ownership(rows: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
-    spans lists the base spans and, of the other kinds, those whose value fewer than `copied_owners` owners hold, as
-    kind:start:end in code points. n_live and n_copied count the candidates of either sort, base ones too. Values are
-    told apart by 64-bit hashes and are not kept. A repository is counted once for each of its owners. Null texts are
-    empty; empty texts have no spans; a null repository or owner counts as one. Repeated rows get a row each; other
-    columns are ignored, whatever their names.
+    spans lists the base spans and, of the other kinds, those whose value is not widely copied, as kind:start:end in
+    code points. Widely copied is what `copied_owners` owners hold, or two owners in `copied_repos` repositories. n_live
+    and n_copied count the candidates of either sort, base ones too. Values are told apart by 64-bit hashes and are not
+    kept. A repository is counted once for each of its owners. Null texts are empty; empty texts have no spans; a null
+    repository or owner counts as one. Repeated rows get a row each, but are one repository; other columns are ignored,
+    whatever their names; an empty table gives an empty result. Very long texts are scanned in time that grows with
+    their length, and in memory a few times as large.
     """
     rows = written(scan(docs, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
-    copied = written(ownership(rows).where(F.col("owners") >= copied_owners).select("value", F.lit(True).alias("copied")), "copied")
+    widely = (F.col("owners") >= copied_owners) | (F.col("owners") > 1) & (F.col("repos") >= copied_repos)
+    copied = written(ownership(rows).where(widely).select("value", F.lit(True).alias("copied")), "copied")
     each = rows.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*")
     judged = lookup_join(each, copied, ["value"]).withColumn("copied", F.coalesce("copied", F.lit(False)))
     shown = F.when((F.col("kind") < 3) | ~F.col("copied"), F.struct("start", "kind", F.col("end")))
