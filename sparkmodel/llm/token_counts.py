@@ -4,10 +4,13 @@ A byte-pair encoder applies, to each pre-token, the lowest-ranked adjacent pair
 pre-tokens lie side by side in one ragged numpy array, and each round applies every sequence's own lowest-rank pair at
 all its places at once. A merged symbol only takes part in pairs of a higher rank than the merge that made it, so this
 gives the symbols that merging one pair at a time gives. What is left of a sequence when no pair has a rank is counted.
+A round looks at all symbols of the sequences that are left; a sequence that is so long that many rounds would do so
+keeps its pairs' places by rank instead, and a round looks at the places of its rank alone.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +28,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The white space of the encoder's library; Python's own \s also holds the separators 0x1C to 0x1F.
 WHITE = r"\p{White_Space}"
 NO_RANK = np.int64(1 << 40)
+#: Symbols from which a sequence is merged by itself.
+LONG = 2_000
 #: Distinct pre-tokens that a worker remembers; only time depends on it.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 
@@ -63,7 +68,9 @@ class PairMerger:
         """Symbols that are left of each piece."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         out = sizes.copy()
-        live = np.flatnonzero(sizes > 1)
+        for i in np.flatnonzero(sizes >= LONG).tolist():
+            out[i] = self.count_long(pieces[i])
+        live = np.flatnonzero((sizes > 1) & (sizes < LONG))
         if not len(live):
             return out
         symbols = self.of_byte[np.frombuffer(b"".join([pieces[i] for i in live]), np.uint8)]
@@ -90,6 +97,58 @@ class PairMerger:
             symbols, live, sizes = symbols[keep], live[on], left[on]
         return out
 
+    def count_long(self, piece: bytes) -> int:
+        """Symbols that are left of one long sequence: the places of its pairs are kept by rank, the lowest comes next.
+
+        A merged symbol stays at the place of its left part, the other place is dead. A place is noted for every rank
+        that its pair takes on, and passed over when its turn comes if the pair has changed since.
+        """
+        symbols = self.of_byte[np.frombuffer(piece, np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        now = np.full(n, NO_RANK)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def note(at: np.ndarray, rank: np.ndarray) -> None:
+            now[at] = rank
+            at, rank = at[rank < NO_RANK], rank[rank < NO_RANK]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(at) else []
+            for r, own in zip(rank[cut].tolist(), np.split(at, cut[1:]), strict=True) if len(at) else ():
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(own)
+
+        note(np.arange(n - 1), self.rank(symbols[:-1], symbols[1:]))
+        left = n
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[now[at] == r]
+            if not len(at):
+                continue
+            # in a run of equal pairs every second one is taken, from the left
+            first = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            run = np.arange(len(at))
+            at = at[(run - np.maximum.accumulate(np.where(first, run, 0))) % 2 == 0]
+            dead = after[at]
+            symbols[at] = self.made[r]
+            now[dead] = NO_RANK
+            after[at] = after[dead]
+            some = after[at] < n
+            before[after[at][some]] = at[some]
+            left -= len(at)
+            near = at[some]
+            rank = np.full(len(at), NO_RANK)
+            rank[some] = self.rank(symbols[near], symbols[after[near]])
+            behind = before[at]
+            behind = behind[behind >= 0]
+            note(np.concatenate((at, behind)), np.concatenate((rank, self.rank(symbols[behind], symbols[after[behind]]))))
+        return left
+
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
         """The text's pre-tokens, and how many special strings it holds (each is one token by itself)."""
         if self.at_special is None or not any(s in text for s in self.special):
@@ -122,7 +181,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     `tokenizer` is the path of a byte-level BPE file that every worker can open (it is part of their environment).
     Special strings of the vocabulary inside a text count as one token each. Null and empty texts have 0 bytes and
     0 tokens; null or repeated ids are passed through, row by row; other columns are ignored, whatever their names.
-    Texts are worked on in blocks of a bounded number of bytes; one very long text is a block of its own. There is
+    Texts are worked on in blocks of a bounded number of bytes; one very long text is a block of its own, whose time
+    grows with its length even where it is one pre-token. An empty table gives an empty result. There is
     no shuffle: each input partition is counted by itself, and a lost executor's partitions are counted again.
     """
     ship(docs.sparkSession)
