@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
 from sparkmodel.llm.components import Forest, components
-from sparkmodel.llm.runtime import lookup_join, ship, written
+from sparkmodel.llm.runtime import drop_table, lookup_join, ship, skewed_join, written
 
 SEED = 11
 #: Chance that a pair exactly at the threshold meets in some table; pairs above it meet more often.
 RECALL = 0.985
 #: Rows of a cell that one task compares; larger cells are dealt in parts. Rows of a tile of the comparison.
 GROUP, TILE = 8_192, 512
+#: Cosines that lie so near the threshold are computed again, in a way that no library decides the last bit of.
+MARGIN = 1e-12
 #: Scales of the projection and numbers of neighbouring cells among which the cheapest is chosen.
 SCALES, PROBES = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.2), (2, 4)
 
@@ -110,22 +112,46 @@ def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), size
 
 
+def unit_vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, unit vectors) of the vectors of each length."""
+    flat, size = unit(column)
+    ends = np.cumsum(size)
+    for dim in np.unique(size).tolist():
+        own = np.flatnonzero(size == dim)
+        v = flat[(ends[own] - dim)[:, None] + np.arange(dim)[None, :]]
+        # scaled by the largest component first, so that no square overflows or vanishes
+        v /= np.abs(v).max(axis=1, keepdims=True)
+        v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
+        yield dim, own, v
+
+
+def all_keys(v: np.ndarray, scale: float, probes: int, tables: int) -> np.ndarray:
+    dim = v.shape[1]
+    return np.concatenate([cell_keys(v @ projection(t, dim) * scale, probes, t, dim) for t in range(tables)], axis=1)
+
+
+def count_cells(vectors: DataFrame, scale: float, probes: int, tables: int) -> DataFrame:
+    """(key, rows) of all cells; only keys are moved, added up within 1,024 vectors first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                for _, _, v in unit_vectors(batch.column(0).slice(at, 1024)):
+                    keys, n = np.unique(all_keys(v, scale, probes, tables), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return vectors.select("embedding").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("rows"))
+
+
 def file_vectors(vectors: DataFrame, scale: float, probes: int, tables: int) -> DataFrame:
-    """(key, part, cid, n, keys, vector) of each vector's cells: its unit vector under each of its keys."""
+    """(key, cid, n, keys, vector) of each vector's cells: its unit vector under each of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                flat, size = unit(part.column(2))
-                ends = np.cumsum(size)
-                for dim in np.unique(size):
-                    own = np.flatnonzero(size == dim)
-                    v = flat[(ends[own] - dim)[:, None] + np.arange(dim)[None, :]]
-                    # scaled by the largest component first, so that no square overflows or vanishes
-                    v /= np.abs(v).max(axis=1, keepdims=True)
-                    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
-                    keys = np.concatenate([cell_keys(v @ projection(t, int(dim)) * scale, probes, t, int(dim)) for t in range(tables)], axis=1)
+                for dim, own, v in unit_vectors(part.column(2)):
+                    keys = all_keys(v, scale, probes, tables)
                     width = keys.shape[1]
                     row = np.repeat(own, width)
                     yield pa.RecordBatch.from_arrays(
@@ -134,7 +160,7 @@ def file_vectors(vectors: DataFrame, scale: float, probes: int, tables: int) ->
                             part.column(0).take(pa.array(row)),
                             part.column(1).take(pa.array(row)),
                             pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * width), len(row), [None, pa.py_buffer(np.repeat(keys, width, axis=0).tobytes())]).cast(pa.binary()),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * int(dim)), len(row), [None, pa.py_buffer(np.repeat(v, width, axis=0).tobytes())]).cast(pa.binary()),
+                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dim), len(row), [None, pa.py_buffer(np.repeat(v, width, axis=0).tobytes())]).cast(pa.binary()),
                         ],
                         names=["key", "cid", "n", "keys", "vector"],
                     )
@@ -142,6 +168,20 @@ def file_vectors(vectors: DataFrame, scale: float, probes: int, tables: int) ->
     return vectors.select("cid", "n", "embedding").mapInArrow(run, "key bigint, cid bigint, n bigint, keys binary, vector binary")
 
 
+def near_pairs(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose cosine is at least the threshold; within MARGIN of it exact sums decide."""
+    found = a @ b.T
+    p, q = np.nonzero(found >= cosine - MARGIN)
+    doubtful = np.flatnonzero(found[p, q] <= cosine + MARGIN)
+    if not len(doubtful):
+        return p, q
+    keep = np.ones(len(p), bool)
+    for i in doubtful.tolist():
+        x, y = a[p[i]], b[q[i]]
+        keep[i] = math.fsum(x * y) >= cosine * math.sqrt(math.fsum(x * x) * math.fsum(y * y))
+    return p[keep], q[keep]
+
+
 def compare_cell(key: int, cid: np.ndarray, n: np.ndarray, part: np.ndarray, keys: np.ndarray, v: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(root position by row, linked vectors by row) among the rows of one cell, or of one pair of its parts.
 
@@ -152,7 +192,7 @@ def compare_cell(key: int, cid: np.ndarray, n: np.ndarray, part: np.ndarray, key
     two = part.min() != part.max()
     for i in range(0, len(cid), TILE):
         for j in range(i, len(cid), TILE):
-            p, q = np.nonzero(v[i : i + TILE] @ v[j : j + TILE].T >= cosine)
+            p, q = near_pairs(v[i : i + TILE], v[j : j + TILE], cosine)
             p, q = p + i, q + j
             fits = q > p if not two else (q > p) & (part[p] != part[q])
             p, q = p[fits], q[fits]
@@ -206,8 +246,9 @@ def compare_rows(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[p
 def vector_links(vectors: DataFrame, cosine: float, rows: int, group: int = GROUP) -> DataFrame:
     """Distinct vectors (cid, n, embedding) to (a, b, n) as compare_rows gives them, over all cells."""
     ship(vectors.sparkSession)
-    filed = file_vectors(vectors, *plan(rows, cosine))
-    large = written(filed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group), "large")
+    setting = plan(rows, cosine)
+    filed = file_vectors(vectors, *setting)
+    large = written(count_cells(vectors, *setting).where(F.col("rows") > group), "large")
     some = large.count()
     if some:
         # a larger cell is dealt as all pairs of its parts, each a cell of its own
@@ -228,8 +269,10 @@ def embedding_groups(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     component_id is the smallest id reachable by links. Null or zero vectors, and those with a null or non-finite
     component, link with nothing; vectors of different lengths never link. Equal vectors are one class, compared once
     and linked to each other. Links found are exact; the search finds a pair at the threshold with a chance of RECALL
-    at least. Of a null id the component is null unless other ids are linked. Repeated rows get a row each; extra
-    columns are ignored, whatever their names.
+    at least by its estimate. The number of vectors decides scale, neighbouring cells and tables, so a pair near the
+    threshold that is found in one table may be missed in another; the chance is the same. Of a null id the component is null unless other ids are linked. Repeated rows get a row each; extra
+    columns are ignored, whatever their names; an empty table gives an empty result. Cells and tiles bound what a task
+    holds of vectors of some thousand components; longer ones need memory in proportion.
     """
     ship(embeddings.sparkSession)
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
@@ -246,7 +289,9 @@ def embedding_groups(embeddings: DataFrame, id_col: str = "vec_id", vector_col:
     least = roots.join(roots.groupBy("root").agg(F.min("least").alias("component")), "root").select("cid", "component")
     of_class = classes.join(linked, "cid", "left").join(least, "cid", "left")
     n_links = F.coalesce("others", F.lit(0)) + F.col("n") - 1
-    of_class = of_class.select("embedding", n_links.alias("n_links"), F.coalesce("component", "least").alias("component"))
-    valid = rows.where("valid").join(of_class, "embedding").select("id", "n_links", "component")
+    of_class = of_class.select("embedding", "n", n_links.alias("n_links"), F.coalesce("component", "least").alias("component"))
+    valid = skewed_join(rows.where("valid"), of_class, "embedding", "n", rows.count()).select("id", "n_links", "component")
     rest = rows.where("NOT valid").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
-    return valid.union(rest).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    out = written(valid.union(rest).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")), "groups")
+    drop_table(rows, classes, found, sets)
+    return out
