@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmodel.llm.runtime import BROADCAST_ROWS, written
+from sparkmodel.llm.runtime import BROADCAST_ROWS, drop_table, written
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix"
 #: A word is what these six white-space characters separate.
@@ -42,11 +42,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that of all sizes. taken is size times the copies in the mix: the source's whole repetitions, and one more for the
     documents that come first by md5 of seed and id, as long as half of the document still fits. A source's taken words
     differ from its target by at most half of one document. Null and empty texts have size 0 and take nothing; repeated
-    rows count each for itself; a null id is hashed as the text 'null'. Extra columns are ignored, whatever their names.
+    rows count each for itself; a null id is hashed as the text 'null'. Extra columns are ignored, whatever their names;
+    an empty table gives an empty result. A very long text is only counted, in the memory of its row.
 
     One pass reads the texts; after that only ids, sizes and hashes are moved. Words to fill are found without sorting a
     source: sizes are added up by hash prefix, with about as many prefixes as rows in one, and only the documents of the
-    one prefix where the target is met are put in order.
+    one prefix where the target is met are put in order. The table of sources, a row for each, is worked on in one task.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     base = base.withColumn("key", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit("null")))))
@@ -74,25 +75,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at_edge = rows.where(inner).withColumn("more", (F.col("before") + upto - F.col("size")).cast("double") + F.col("size") / F.lit(2.0) <= F.col("rest"))
     others = rows.where(~inner).withColumn("more", F.coalesce(part < F.col("edge"), F.lit(False)))
     taken = F.col("size") * (F.col("whole") + F.col("more").cast("bigint"))
-    return at_edge.unionByName(others).select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", taken.alias("taken"))
+    out = written(at_edge.unionByName(others).select(F.col("id").alias(id_col), F.col("source"), "size", "source_size", "target", taken.alias("taken")), "mix")
+    drop_table(base, plan, edge)
+    return out
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The documents that the mix takes, with their columns and size, source_size, target, taken.
 
     Documents it takes no words of are left out. Rows that repeat id, source and size are taken alike (as the one of
-    them that is taken least). A column of docs that has one of the four names is replaced.
+    them that is taken least). Where docs has a column of one of the four names, both stay: the mix's gets a '_' at its
+    end. Null, empty and very long texts and empty tables are as in mix_sources.
     """
-    mixed = mix_sources(docs, id_col, text_col, source_col, weights, max_epochs, seed).toDF("__id", "__source", "size", "source_size", "target", "taken")
-    mixed = mixed.groupBy("__id", "__source", "size").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.min("taken").alias("taken")).where("taken > 0")
-    new = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c not in new]
-    own_size = "__size"
-    while own_size in kept:
+    mixed = mix_sources(docs, id_col, text_col, source_col, weights, max_epochs, seed).toDF("__id", "__source", "__size", "source_size", "target", "taken")
+    mixed = mixed.groupBy("__id", "__source", "__size").agg(F.first("source_size").alias("__source_size"), F.first("target").alias("__target"), F.min("taken").alias("__taken")).where("__taken > 0")
+    names = {}
+    for name in ("size", "source_size", "target", "taken"):
+        names[f"__{name}"] = name
+        while names[f"__{name}"] in docs.columns:
+            names[f"__{name}"] += "_"
+    own_size = "__own_size"
+    while own_size in docs.columns:
         own_size += "_"
-    rows = docs.select(*[docs[f"`{c}`"] for c in kept], F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias(own_size))
-    same = rows[f"`{id_col}`"].eqNullSafe(mixed["__id"]) & rows[f"`{source_col}`"].eqNullSafe(mixed["__source"]) & (rows[own_size] == mixed["size"])
-    return rows.join(mixed.hint("shuffle_hash"), same).select(*[rows[f"`{c}`"] for c in kept], *new)
+    rows = docs.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(F.regexp_count(docs[f"`{text_col}`"], F.lit(WORD)), F.lit(0)).cast("bigint").alias(own_size))
+    same = rows[f"`{id_col}`"].eqNullSafe(mixed["__id"]) & rows[f"`{source_col}`"].eqNullSafe(mixed["__source"]) & (rows[own_size] == mixed["__size"])
+    return rows.join(mixed, same).select(*[rows[f"`{c}`"] for c in docs.columns], *[mixed[c].alias(n) for c, n in names.items()])
 
 
 def mix_sql(relation: str = "documents", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> str:
