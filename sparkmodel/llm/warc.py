@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmodel.llm.runtime import lookup_join, new_folder, ship, written
+from sparkmodel.llm.runtime import drop_folder, drop_table, new_folder, ship, skewed_join, written
 
 #: Payloads below this many bytes are never replaced by a revisit record.
 REVISIT_BYTES = 100
@@ -24,6 +24,8 @@ REVISIT_BYTES = 100
 FILE_BYTES, READ_BYTES, GAP_BYTES = 1 << 30, 8 << 20, 64 << 10
 #: Bytes of records for one reading task.
 TASK_BYTES = 16 << 20
+#: Copies of equal rows that one task makes at a time.
+COPIES = 1_000
 #: The capture date of written records is a parameter, so that reruns give the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,33 +74,45 @@ def record_types(pages: DataFrame, revisit_bytes: int) -> DataFrame:
     """
     rows = written(pages.groupBy("id", "url", "digest", "size").agg(F.count(F.lit(1)).alias("n")), "payloads")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("url").isNull().alias("no_url"), "url")
-    least = rows.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min(order).alias("least"))
-    least = written(least.select("digest", F.col("least.id").alias("least_id"), F.col("least.url").alias("least_url"), F.lit(True).alias("shared")), "responses")
-    joined = lookup_join(rows, least, ["digest"])
-    first = F.col("id").eqNullSafe(F.col("least_id")) & F.col("url").eqNullSafe(F.col("least_url"))
-    shared = F.coalesce("shared", F.lit(False)) & (F.col("size") >= revisit_bytes)
-    return written(joined.select("id", "url", "digest", "size", "n", F.when(shared, first).alias("first"), F.when(shared, F.col("least_id")).alias("refers_to")), "types")
+    shared = rows.where(F.col("size") >= revisit_bytes)
+    least = written(shared.groupBy("digest").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("rows")), "responses")
+    joined = skewed_join(shared, least, "digest", "rows", rows.count())
+    first = F.col("id").eqNullSafe(F.col("least.id")) & F.col("url").eqNullSafe(F.col("least.url"))
+    of_shared = joined.select("id", "url", "digest", "size", "n", first.alias("first"), F.col("least.id").alias("refers_to"))
+    others = rows.where(F.col("size") < revisit_bytes).withColumns({"first": F.lit(None).cast("boolean"), "refers_to": F.lit(None).cast(rows.schema["id"].dataType)})
+    types = written(of_shared.unionByName(others), "types")
+    drop_table(rows, least)
+    return types
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = REVISIT_BYTES, date: str = DATE) -> DataFrame:
     """Write a record per row to archives in `folder`, and return their index (INDEX), itself a written table.
 
     Payloads are the html in UTF-8 (null: empty). Each attempt of a task writes files of its own name, and the index is
-    committed with the task, so files of lost attempts are never read.
+    committed with the task, so files of lost attempts are never read. Of equal rows one brings its payload to the
+    writer, and the records of the others, which hold none or a short one, are dealt over the tasks. A very long
+    payload takes a few times its size in the task that writes it.
     """
     ship(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("bigint").alias("size"))
     types = record_types(rows.drop("html"), revisit_bytes)
 
-    def beside(kinds: DataFrame) -> DataFrame:
-        same = rows["id"].eqNullSafe(kinds["id"]) & rows["url"].eqNullSafe(kinds["url"]) & (rows["digest"] == kinds["digest"])
-        return rows.join(kinds.hint("shuffle_hash"), same).select(rows["id"].cast("string"), rows["url"], rows["html"], rows["digest"], rows["size"], kinds["n"], kinds["first"], kinds["refers_to"].cast("string"))
+    def beside(left: DataFrame, kinds: DataFrame) -> DataFrame:
+        same = left["id"].eqNullSafe(kinds["id"]) & left["url"].eqNullSafe(kinds["url"]) & (left["digest"] == kinds["digest"])
+        return left.join(kinds, same).select(kinds["id"], kinds["url"], left["html"], kinds["digest"], kinds["size"], kinds["n"], kinds["first"], kinds["refers_to"])
 
-    todo = beside(types.where("n = 1"))
+    todo = beside(rows, types.where("n = 1"))
     repeated = types.where("n > 1")
     if not repeated.isEmpty():
-        todo = todo.unionByName(beside(repeated).dropDuplicates(["id", "url", "digest"]))
+        # one row of each is left before it meets its kind, by an aggregate that works before the shuffle
+        once = beside(rows.groupBy("id", "url", "digest").agg(F.first("html").alias("html")), repeated)
+        short = F.when(F.col("first").isNull(), F.col("html")).otherwise(F.lit(""))
+        parts = once.withColumns({"html": short, "first": F.when(F.col("first").isNotNull(), False), "part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 2) / COPIES)))})
+        each = F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPIES).cast("bigint"), F.col("n") - 1 - F.col("part") * COPIES))
+        copies = parts.repartition("digest", "id", "part").withColumn("copy", F.explode(each)).drop("part", "copy")
+        todo = todo.unionByName(once).unionByName(copies)
+    todo = todo.select(F.col("id").cast("string").alias("id"), "url", "html", "digest", "size", "first", F.col("refers_to").cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -110,26 +124,25 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for batch in batches:
                 index: list[tuple] = []
                 for row in batch.to_pylist():
-                    payload = row["html"].encode()
-                    first = row["first"]
-                    kinds = ["response" if first in (None, True) else "revisit"] + ["response" if first is None else "revisit"] * (row["n"] - 1)
-                    for kind in kinds:
-                        if out is None or at > FILE_BYTES:
-                            if out is not None:
-                                out.close()
-                            name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                            out = store.open_output_stream(f"{inner}/{name}", compression=None)
-                        member = record(kind, row["id"], row["url"], row["digest"], row["size"], payload, row["refers_to"], date)
-                        out.write(member)
-                        index.append((name, at, len(member), row["url"], row["digest"]))
-                        at += len(member)
+                    if out is None or at > FILE_BYTES:
+                        if out is not None:
+                            out.close()
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{inner}/{name}", compression=None)
+                    kind = "revisit" if row["first"] is False else "response"
+                    member = record(kind, row["id"], row["url"], row["digest"], row["size"], row["html"].encode(), row["refers_to"], date)
+                    out.write(member)
+                    index.append((name, at, len(member), row["url"], row["digest"]))
+                    at += len(member)
                 columns = list(zip(*index, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["file", "offset", "length", "url", "digest"])
         finally:
             if out is not None:
                 out.close()
 
-    return written(todo.mapInArrow(write, INDEX), "index")
+    index = written(todo.mapInArrow(write, INDEX), "index")
+    drop_table(types)
+    return index
 
 
 def joined_ranges(rows: list[tuple[str, int, int]], read_bytes: int = READ_BYTES, gap_bytes: int = GAP_BYTES) -> Iterator[tuple[str, int, int, list[int]]]:
@@ -192,13 +205,17 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     id, payload_bytes, payload_digest, record_type, refers_to. Of rows with equal payloads of at least revisit_bytes
     the one with the smallest id is the response (null ids last, then the smallest url; of wholly equal rows one), the
     others revisit it; a revisit of a response without id has a null refers_to. Null html is an empty payload. Extra
-    columns are ignored, whatever their names; an empty table gives an empty result.
+    columns are ignored, whatever their names; an empty table gives an empty result. Very long payloads are as in
+    write_archives. The archives are deleted once they have been read.
     """
     folder = new_folder(pages.sparkSession, "warc")
     index = write_archives(pages, folder, id_col, url_col, html_col, revisit_bytes)
     kind = pages.schema[id_col].dataType
     read = read_records(index, folder)
-    return read.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    out = written(read.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")), "records")
+    drop_table(index)
+    drop_folder(pages.sparkSession, folder)
+    return out
 
 
 SQL = f"""
