@@ -112,7 +112,7 @@ def canonical_text(c: ColumnLike, kind: T.DataType, decimals: int = 3) -> Column
     if isinstance(kind, T.BooleanType):
         return column.cast("int").cast("string")
     if isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType) and kind.scale == 0:
-        return column.cast("bigint").cast("string")
+        return column.cast("string")
     if isinstance(kind, (T.FractionalType, T.DecimalType)):
         return column.cast(f"decimal(38,{decimals})").cast("string")
     if isinstance(kind, T.DateType):
@@ -130,3 +130,9 @@ def row_key_text(df: DataFrame, columns: list[str]) -> Column:
     """The canonical texts of several columns, nulls empty, joined by commas."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return F.concat_ws(",", *[F.coalesce(canonical_text(df[c], kinds[c]), F.lit("")) for c in columns])
+
+
+def chopped(c: ColumnLike, digits: int) -> Column:
+    """A timestamp's text with so many digits of the second (0 to 6), the rest cut off and not rounded."""
+    text = F.date_format(as_column(c), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.substring(text, 1, 20 + digits if digits else 19)

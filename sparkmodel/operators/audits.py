@@ -22,6 +22,11 @@ URL = r"^(https?|ftp)://[^\s/$.?#].[^\s]*$"
 EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "TRACE", "CONNECT")
 
+#: Copies of a row that one task makes; salts that a hot value is dealt by; rows of a range of an order over a whole
+#: table, rows looked at for each range, and ranges at most.
+COPIES, SALTS = 100_000, 64
+RANGE_ROWS, RANGE_SAMPLE, RANGES = 1_000_000, 50, 4_096
+
 Condition = Column | None
 PREDICATES: dict[str, Callable[..., Column]] = {}
 AUDITS: dict[str, Callable[..., DataFrame]] = {}
@@ -119,8 +124,8 @@ def valid_email(column: str) -> Column:
 
 @predicate
 def match_regex_pattern_list(column: str, patterns: Sequence[str]) -> Column:
-    """Rows that miss one of the patterns."""
-    return any_of(*[~F.col(column).rlike(p) for p in patterns])
+    """Rows that match none of the patterns."""
+    return all_of(*[~F.col(column).rlike(p) for p in patterns])
 
 
 @predicate
@@ -131,8 +136,8 @@ def not_match_regex_pattern_list(column: str, patterns: Sequence[str]) -> Column
 
 @predicate
 def match_like_pattern_list(column: str, patterns: Sequence[str]) -> Column:
-    """Rows that miss one of the LIKE patterns."""
-    return any_of(*[~F.col(column).like(p) for p in patterns])
+    """Rows that match none of the LIKE patterns."""
+    return all_of(*[~F.col(column).like(p) for p in patterns])
 
 
 @predicate
@@ -153,11 +158,47 @@ def string_length_equal(column: str, v: int) -> Column:
     return F.length(column) != v
 
 
+def repeated(df: DataFrame, n: str, first: int = 1) -> DataFrame:
+    """Each row once for every number from `first` to its value of `n`, with the number as __copy.
+
+    The copies of a row are dealt over tasks, COPIES of them to a row of the exchange.
+    """
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - first) / COPIES))
+    rows = df.where(F.col(n) >= first).withColumn("__deal", F.explode(parts))
+    low = F.col("__deal") * COPIES + first
+    rows = rows.withColumns({"__low": low, "__high": F.least(low + (COPIES - 1), F.col(n))}).repartition("__deal", *df.columns)
+    return rows.withColumn("__copy", F.explode(F.sequence("__low", "__high"))).drop("__deal", "__low", "__high")
+
+
 @query
 def unique_values(df: DataFrame, columns: Sequence[str], condition: Condition = None) -> DataFrame:
-    """For each column by itself the number of each repeat, as rank_<column>; rows with a repeat in any."""
-    ranks = [F.row_number().over(Window.partitionBy(c).orderBy(c)).cast("bigint").alias(f"rank_{c}") for c in columns]
-    return scoped(df, condition).select(*ranks).where(any_of(*[F.col(f"rank_{c}") > 1 for c in columns]))
+    """For each column by itself the number of each repeat, as rank_<column>; rows with a repeat in any.
+
+    Values are counted, and the repeats numbered from the counts. With several columns a row's numbers belong together:
+    rows are numbered within a value and a salt from the whole row, to which the counts of the salts before are added.
+    """
+    rows = scoped(df, condition)
+    if len(columns) == 1:
+        counts = rows.groupBy(F.col(columns[0]).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+        return repeated(counts, "__n", 2).select(F.col("__copy").alias(f"rank_{columns[0]}"))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(SALTS)))
+    for c in columns:
+        own = [F.col(f"`{c}`"), F.col("__salt")]
+        counts = rows.groupBy(own[0].alias("__value"), own[1].alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy("__value").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.select("__value", "__of", F.coalesce(before, F.lit(0)).alias("__before"))
+        numbered = rows.withColumn("__own", F.row_number().over(Window.partitionBy(*own).orderBy(own[0])))
+        same = numbered[f"`{c}`"].eqNullSafe(counts["__value"]) & (numbered["__salt"] == counts["__of"])
+        rows = numbered.join(counts, same).withColumn(f"rank_{c}", F.col("__before") + F.col("__own")).drop("__value", "__of", "__before", "__own")
+    return rows.select(*[f"rank_{c}" for c in columns]).where(any_of(*[F.col(f"rank_{c}") > 1 for c in columns]))
+
+
+def repeats(df: DataFrame, columns: Sequence[str], condition: Condition = None) -> int | None:
+    """The number of rows of unique_values, of a single column from its counts alone."""
+    if len(columns) > 1:
+        return None
+    counts = scoped(df, condition).groupBy(columns[0]).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
 
 
 @query
@@ -196,34 +237,61 @@ def not_null_proportion(df: DataFrame, column: str, threshold: float, condition:
 def sequential_values(df: DataFrame, column: str, interval: Any = 1, condition: Condition = None) -> DataFrame:
     """(column, prv) where the value is not its predecessor plus the interval.
 
-    Every range of values is ordered by itself, and only the largest value of each is handed to the next, so no task
-    sees the whole column.
+    Values are counted first: the predecessor of a repeat is the value itself, whatever the number of repeats, and only
+    different values are ordered. Every range of these is ordered by itself, and only the largest of each is handed to
+    the next, so no task sees the whole column.
     """
-    rows = scoped(df, condition).select(column)
-    return with_neighbour(rows, [column], column, "prv", -1).where(~(F.col(column) == F.col("prv") + interval)).select(column, "prv")
+    counts = scoped(df, condition).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    value = F.col(f"`{column}`")
+    firsts = with_neighbour(counts, [column], column, "prv", -1).where(~(value == F.col("prv") + interval)).select(value, "prv")
+    again = counts.where("__n > 1").where(~(value == value + interval))
+    return firsts.unionByName(repeated(again, "__n", 2).select(value, value.alias("prv")))
+
 
+def cut_points(rows: DataFrame, order: list[str], per_range: int) -> list[tuple]:
+    """Values of the order columns that cut the rows into ranges of about per_range rows: quantiles of a sample."""
+    n = rows.count()
+    parts = min(RANGES, -(-n // per_range))
+    if parts < 2:
+        return []
+    sample = rows.select(*order).sample(min(1.0, RANGE_SAMPLE * parts / n), seed=7).collect()
+    ranked = sorted({tuple(r) for r in sample}, key=lambda r: [(x is not None, x) for x in r])
+    return [ranked[i] for i in sorted({len(ranked) * k // parts for k in range(1, parts)}) if i < len(ranked)]
 
-def with_neighbour(rows: DataFrame, order: list[str], value: str, name: str, step: int, parts: int = 64) -> DataFrame:
+
+def range_number(rows: DataFrame, order: list[str], cuts: list[tuple]) -> Column:
+    """How many of the ascending cut points lie below a row, found in two steps of about the root of their number."""
+    kinds = [rows.schema[c].dataType for c in order]
+
+    def struct(values: Sequence[Column]) -> Column:
+        return F.struct(*[v.cast(k).alias(f"c{i}") for i, (v, k) in enumerate(zip(values, kinds, strict=True))])
+
+    own = struct([F.col(f"`{c}`") for c in order])
+    step = max(1, round(len(cuts) ** 0.5))
+    blocks = [[struct([F.lit(x) for x in cut]) for cut in cuts[i : i + step]] for i in range(0, len(cuts), step)]
+    below = F.size(F.filter(F.array(*[b[0] for b in blocks]), lambda c: c < own))
+    block = F.get(F.array(*[F.array(*b) for b in blocks]), F.greatest(below - 1, F.lit(0)))
+    return F.greatest(below - 1, F.lit(0)) * step + F.size(F.filter(block, lambda c: c < own))
+
+
+def with_neighbour(rows: DataFrame, order: list[str], value: str, name: str, step: int, per_range: int | None = None) -> DataFrame:
     """rows with the previous (step -1) or next (1) row's value in a global order, nulls first, under `name`.
 
-    Quantiles of the first order column cut the rows into ranges; a text column has one range.
+    Quantiles of the order columns, of any type that sorts, cut the rows into ranges; their number follows that of the
+    rows. `rows` is read three times: counted, sampled (where there are several ranges), and ordered.
     """
-    kind = rows.schema[order[0]].dataType
-    lead = F.col(order[0])
-    ranges = F.lit(0)
-    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        quantiles = rows.agg(F.percentile_approx(lead, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-        if quantiles:
-            bounds = F.array(*[F.lit(q).cast(kind) for q in sorted(set(quantiles))])
-            ranges = F.coalesce(F.size(F.filter(bounds, lambda b: b < lead)), F.lit(-1))
-    marked = rows.withColumn("__part", ranges)
+    cuts = cut_points(rows, order, per_range or RANGE_ROWS)
+    marked = rows.withColumn("__part", range_number(rows, order, cuts) if cuts else F.lit(0))
     down = [F.col(c).asc() if step < 0 else F.col(c).desc() for c in order]
     near = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("__part").orderBy(*down))
+    marked = marked.withColumn("__near", near)
+    if not cuts:
+        return marked.withColumn(name, F.col("__near")["v"]).drop("__part", "__near")
     rank = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order])
-    edges = marked.groupBy("__part").agg((F.max_by if step < 0 else F.min_by)(F.struct(F.col(value).alias("v")), rank).alias("edge"))
+    edges = rows.withColumn("__part", range_number(rows, order, cuts)).groupBy("__part").agg((F.max_by if step < 0 else F.min_by)(F.struct(F.col(value).alias("v")), rank).alias("edge"))
     across = Window.orderBy(F.col("__part").asc() if step < 0 else F.col("__part").desc())
     edges = edges.select("__part", F.lag("edge").over(across).alias("__edge"))
-    marked = marked.withColumn("__near", near).join(F.broadcast(edges), "__part")
+    marked = marked.join(F.broadcast(edges), "__part")
     return marked.withColumn(name, F.coalesce("__near", "__edge")["v"]).drop("__part", "__near", "__edge")
 
 
@@ -237,9 +305,12 @@ def mutually_exclusive_ranges(df: DataFrame, lower_bound_column: str, upper_boun
         rows = rows.withColumn("__next", F.lead(F.struct(F.col("lower_bound").alias("v"))).over(window))
         rows = rows.withColumns({"next_lower_bound": F.col("__next.v"), "is_last_record": F.col("__next").isNull()}).drop("__next", *keys)
     else:
-        rows = rows.withColumn("__lower", F.struct(F.col("lower_bound").alias("v")))
-        rows = with_neighbour(rows, ["lower_bound", "upper_bound"], "__lower", "__next", 1)
-        rows = rows.withColumns({"next_lower_bound": F.col("__next.v"), "is_last_record": F.col("__next").isNull()}).drop("__lower", "__next")
+        # of equal ranges all but the last are followed by one that starts where they do
+        counts = rows.groupBy("lower_bound", "upper_bound").agg(F.count(F.lit(1)).alias("__n")).withColumn("__lower", F.struct(F.col("lower_bound").alias("v")))
+        lasts = with_neighbour(counts, ["lower_bound", "upper_bound"], "__lower", "__next", 1).drop("__n", "__lower")
+        others = repeated(counts, "__n", 2).select("lower_bound", "upper_bound", F.col("__lower").alias("__next"))
+        rows = lasts.unionByName(others)
+        rows = rows.withColumns({"next_lower_bound": F.col("__next.v"), "is_last_record": F.col("__next").isNull()}).drop("__next")
     ordered = F.coalesce(F.col("lower_bound") <= F.col("upper_bound"), F.lit(False))
     apart = F.coalesce(F.col("upper_bound") <= F.col("next_lower_bound"), F.col("is_last_record"), F.lit(False))
     rows = rows.withColumns({"lower_bound_lte_upper_bound": ordered, "upper_bound_lte_next_lower_bound": apart})
@@ -355,6 +426,10 @@ def counts_of(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_left")).crossJoin(other.agg(F.count(F.lit(1)).alias("n_right")))
 
 
+#: Audits whose violations can be counted without making them; None where they cannot after all.
+COUNTS: dict[str, Callable[..., int | None]] = {"unique_values": repeats}
+
+
 @dataclass(frozen=True)
 class Audit:
     """An audit with its arguments. A blocking one stops what follows; '<name>_non_blocking' only warns."""
@@ -403,7 +478,12 @@ def failures(df: DataFrame, audits: Sequence[Audit]) -> list[Outcome]:
             columns.append(F.count_if(all_of(PREDICATES[audit.base](**arguments), condition)).alias(f"n{i}"))
         row = df.agg(*columns).first()
         counts = {id(a): row[f"n{i}"] for i, a in enumerate(plain)}
-    return [Outcome(a, counts[id(a)] if id(a) in counts else a.violations(df).count()) for a in audits]
+
+    def count(a: Audit) -> int:
+        known = COUNTS[a.base](df, **a.arguments) if a.base in COUNTS else None
+        return a.violations(df).count() if known is None else known
+
+    return [Outcome(a, counts[id(a)] if id(a) in counts else count(a)) for a in audits]
 
 
 def enforce(df: DataFrame, audits: Sequence[Audit]) -> list[Outcome]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,13 +84,16 @@ class RowDiff:
         return left.eqNullSafe(right)
 
     def summary(self) -> DataFrame:
-        """One row of counts, and of percentages in which a pair counts for both tables."""
-        key = "s_key"
-        sums = self.joined.agg(
-            *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for c, n in (("s_exists", "s_count"), ("t_exists", "t_count"), ("row_joined", "join_count"), ("null_grain", "null_grain_count"), ("row_full_match", "full_match_count"))],
-            F.countDistinct(key).alias("distinct_count_s"),
-            F.countDistinct("t_key").alias("distinct_count_t"),
+        """One row of counts, and of percentages in which a pair counts for both tables.
+
+        Rows are added up by key first, so that different keys are counted without a copy of the rows for each side.
+        """
+        names = {"s_count": "s_exists", "t_count": "t_exists", "join_count": "row_joined", "null_grain_count": "null_grain", "full_match_count": "row_full_match"}
+        by_key = self.joined.groupBy(F.coalesce("s_key", "t_key").alias("key")).agg(
+            *[F.sum(c).alias(n) for n, c in names.items()],
+            *[F.max(F.col(f"{side}_key").isNotNull().cast("int")).alias(f"distinct_count_{side}") for side in "st"],
         )
+        sums = by_key.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in (*names, "distinct_count_s", "distinct_count_t")])
         sums = sums.withColumns({"s_only_count": F.col("s_count") - F.col("join_count"), "t_only_count": F.col("t_count") - F.col("join_count"), "partial_match_count": F.col("join_count") - F.col("full_match_count")})
         total = F.nullif(F.col("s_count") + F.col("t_count"), F.lit(0))
 
@@ -106,18 +109,35 @@ class RowDiff:
         return rates.select(pairs.alias("p")).select("p.*")
 
     def samples(self, limit: int = 20) -> DataFrame:
-        """The first rows, by key, that only one table has, and pairs that differ: (side, key, columns as text)."""
-        parts = (("source_only", "s_exists = 1 AND row_joined = 0", "s"), ("target_only", "t_exists = 1 AND row_joined = 0", "t"), ("common", "row_joined = 1 AND row_full_match = 0", "s"))
-        out = []
-        for name, which, side in parts:
-            key = F.col(f"{side}_key").cast("string")
-            rows = self.joined.where(which).orderBy(f"{side}_key").limit(limit)
-            out.append(rows.select(F.lit(name).alias("side"), key.alias("key"), *[c for x in self.compared for c in (F.col(f"s__{x}").cast("string").alias(f"s__{x}"), F.col(f"t__{x}").cast("string").alias(f"t__{x}"))]))
-        return out[0].unionByName(out[1]).unionByName(out[2])
+        """The first rows, by key, that only one table has, and pairs that differ: (side, key, columns as text).
+
+        One pass over the join: each task hands on the first rows of each sort that it sees.
+        """
+        side = F.when(F.col("t_exists") == 0, "source_only").when(F.col("s_exists") == 0, "target_only").when(F.col("row_full_match") == 0, "common")
+        key = F.coalesce("s_key", "t_key")
+        texts = [F.col(f"{s}__{x}").cast("string").alias(f"{s}__{x}") for x in self.compared for s in "st"]
+        rows = self.joined.select(side.alias("side"), key.alias("__key"), *texts).where("side IS NOT NULL")
+        first = F.row_number().over(Window.partitionBy("side").orderBy("__key"))
+        return rows.withColumn("__n", first).where(F.col("__n") <= limit).select("side", F.col("__key").cast("string").alias("key"), *[f"{s}__{x}" for x in self.compared for s in "st"])
+
+
+def comparable(value: Column, kind: T.DataType) -> Column:
+    """A value with its maps, at any depth, as lists of entries in the order of their keys: set operations take no maps."""
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.map_entries(value))
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), comparable(e["value"], kind.valueType).alias("value")))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: comparable(x, kind.elementType)) if "map<" in kind.simpleString() else value
+    if isinstance(kind, T.StructType) and "map<" in kind.simpleString():
+        return F.when(value.isNotNull(), F.struct(*[comparable(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
 
 
 def multiset_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows of one frame beyond those of the other, repeats counted, with `side` missing or unexpected."""
-    actual = actual.select(expected.columns)
+    """Rows of one frame beyond those of the other, repeats counted, with `side` missing or unexpected.
+
+    Nulls equal each other, and so do NaN values; maps are compared, and shown, as lists of their entries.
+    """
+    expected, actual = (df.select(*[comparable(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in expected.columns]) for df in (expected, actual))
     missing, extra = expected.exceptAll(actual), actual.exceptAll(expected)
     return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("unexpected")))
