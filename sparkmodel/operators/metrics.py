@@ -8,6 +8,7 @@ to it, and the metrics aggregated at the grain. The results meet in a full join
 from __future__ import annotations
 
 import operator
+import re
 from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -16,6 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The form of a query in SQL, and of what it selects.
+SEMANTIC = re.compile(r"select (?P<items>.+?) from __semantic\.__table(?: where (?P<where>.+?))?(?: group by (?P<group>.+?))?(?: order by (?P<order>.+?))?(?: limit (?P<limit>\d+))?", re.IGNORECASE)
+ITEM = re.compile(r"(?:metric\((?P<metric>\w+)\)|(?P<column>\w+))(?: (?:as )?(?P<alias>\w+))?", re.IGNORECASE)
 #: References that one path may follow.
 MAX_STEPS = 3
 
@@ -86,6 +90,33 @@ class SemanticModel:
                     todo.append((other.table, [*steps, (own, other)], seen | {other.table}))
         raise ValueError(f"{column} cannot be reached from {start}")
 
+    def sql(self, text: str) -> DataFrame:
+        """A query in SQL: SELECT columns and METRIC(name) [AS alias] FROM __semantic.__table [WHERE ...] [GROUP BY ...].
+
+        What is selected besides metrics is the grain; GROUP BY, if given, must name it. ORDER BY and LIMIT apply to the
+        result.
+        """
+        m = SEMANTIC.fullmatch(" ".join(text.split()).rstrip(" ;"))
+        if m is None:
+            raise ValueError("a semantic query reads SELECT ... FROM __semantic.__table [WHERE ...] [GROUP BY ...] [ORDER BY ...] [LIMIT n]")
+        metrics, grain, out = [], [], []
+        for item in re.split(r",(?![^(]*\))", m["items"]):
+            one = ITEM.fullmatch(item.strip())
+            if one is None:
+                raise ValueError(f"{item.strip()} is neither a column nor METRIC(name)")
+            (metrics if one["metric"] else grain).append(name := one["metric"] or one["column"])
+            out.append((name, one["alias"] or name))
+        if m["group"] is not None and {g.strip() for g in m["group"].split(",")} not in ({*grain}, {str(i + 1) for i, (n, _) in enumerate(out) if n in grain}):
+            raise ValueError("GROUP BY does not name the selected columns")
+        rows = self.query(metrics, grain, m["where"]).select(*[F.col(n).alias(a) for n, a in out])
+        for term in m["order"].split(",") if m["order"] else ():
+            words = term.split()
+            if len(words) > 2 or words[-1].lower() not in (words[0].lower(), "asc", "desc"):
+                raise ValueError(f"cannot order by {term.strip()}")
+        if m["order"]:
+            rows = rows.orderBy(*[F.col(t.split()[0]).desc() if t.lower().endswith(" desc") else F.col(t.split()[0]) for t in map(str.strip, m["order"].split(","))])
+        return rows.limit(int(m["limit"])) if m["limit"] else rows
+
     def tables_with(self, column: str, start: str) -> list[str]:
         """Tables joinable from `start` that own the column."""
         out = []

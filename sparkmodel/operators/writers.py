@@ -119,7 +119,8 @@ class History:
     """How a table keeps the versions of its rows (slowly changing dimension of type 2).
 
     Versions change by time if `updated_at` is given without `columns`, else by comparing `columns` ('*': all others).
-    invalidate_hard_deletes closes rows whose key the source no longer has. updated_at_as_valid_from starts a new key at
+    invalidate_hard_deletes closes rows whose key the source no longer has; left open, historized() does so and a model
+    does not. updated_at_as_valid_from starts a new key at
     its updated_at, execution_time_as_valid_from a first load at the execution time; otherwise these start at the epoch.
     """
 
@@ -129,7 +130,7 @@ class History:
     valid_from: str = "valid_from"
     valid_to: str = "valid_to"
     time_type: T.DataType = field(default_factory=T.TimestampNTZType)
-    invalidate_hard_deletes: bool = True
+    invalidate_hard_deletes: bool | None = None
     updated_at_as_valid_from: bool = False
     execution_time_as_valid_from: bool = False
 
@@ -147,19 +148,22 @@ class History:
         return T.StructType([*source.fields, T.StructField(self.valid_from, self.time_type), T.StructField(self.valid_to, self.time_type)])
 
 
-def historized(target: DataFrame | None, source: DataFrame, history: History, execution_time: datetime, first_load: bool = False) -> DataFrame:
+def historized(target: DataFrame | None, source: DataFrame, history: History, execution_time: datetime, first_load: bool = False, keep_closed: bool = True, mark: str | None = None) -> DataFrame:
     """The next state of a table of versions.
 
     Closed versions stay as they are. Open ones meet the source's rows in one full outer join: where the row changed the
     open version is closed and a new one opened, keys that are new open a version, keys that are gone are closed if so
     asked. Columns that are null in an open version take the source's value. On a first load the table's rows are ignored.
+    Without keep_closed those that were closed before are left out; `mark` names a further column that tells whether a
+    row is not as it was.
     """
     own = [c for c in (target or source).columns if c not in (history.valid_from, history.valid_to)]
     time, now = history.time_type, F.lit(execution_time).cast(history.time_type)
     by_time = history.columns is None
     if by_time and history.updated_at not in own:
         raise ValueError(f"no column {history.updated_at}")
-    if target is None or first_load:
+    first = target is None or first_load
+    if first:
         target = source.sparkSession.createDataFrame([], history.schema(source.select(own).schema))
     key_names = [f"__key_{i}" for i in range(len(history.keys))]
     keys = [as_column(k).alias(n) for k, n in zip(history.keys, key_names, strict=True)]
@@ -168,6 +172,10 @@ def historized(target: DataFrame | None, source: DataFrame, history: History, ex
         rows = rows.withColumn(history.updated_at, F.col(history.updated_at).cast(time))
     latest_first = [F.col(history.updated_at).desc_nulls_last()] if by_time else []
     rows = first_per_key(rows, key_names, [*latest_first, *[F.col(f"`{c}`") for c in own]])
+    if first:
+        # nothing to join: every row opens a version
+        start = (F.col(f"`{history.updated_at}`") if history.updated_at_as_valid_from else F.lit(EPOCH)) if by_time else F.lit(EPOCH) if first_load and not history.execution_time_as_valid_from else now
+        return rows.select(*[F.col(f"`{c}`").cast(target.schema[c].dataType).alias(c) for c in own], start.cast(time).alias(history.valid_from), F.lit(None).cast(time).alias(history.valid_to), *([F.lit(True).alias(mark)] if mark else []))
     rows = rows.select(F.struct(*[F.col(f"`{c}`").cast(target.schema[c].dataType).alias(c) for c in own]).alias("s"), *key_names)
     closed, live = target.where(F.col(history.valid_to).isNotNull()), target.where(F.col(history.valid_to).isNull())
     opened = live.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("t"), *[k.alias(f"__t{n}") for k, n in zip(map(as_column, history.keys), key_names, strict=True)])
@@ -188,19 +196,24 @@ def historized(target: DataFrame | None, source: DataFrame, history: History, ex
         since = closes_at = now
         checked = [c for c in own if c not in [k for k in history.keys if isinstance(k, str)]] if history.columns == "*" else list(history.columns)
         changed = present & any_of(*[~F.col(f"s.`{c}`").eqNullSafe(F.col(f"t.`{c}`")) for c in checked])
-        starts = F.lit(EPOCH).cast(time) if first_load and not history.execution_time_as_valid_from else now
+        starts = now
     joined = joined.withColumns({"__changed": changed, "__starts": starts.cast(time), "__closes": closes_at.cast(time)})
     ends = F.when(F.col("__changed"), F.col("__closes"))
-    if history.invalidate_hard_deletes:
+    if history.invalidate_hard_deletes is not False:
         ends = ends.when(gone, now)
     is_new = F.col("t").isNull()
+    filled = any_of(*[F.col(f"t.`{c}`").isNull() & F.col(f"s.`{c}`").isNotNull() for c in own])
     standing = joined.select(
         *[F.coalesce(F.col(f"t.`{c}`"), F.col(f"s.`{c}`")).alias(c) for c in own],
         F.when(is_new, F.col("__starts")).otherwise(F.col(f"t.`{history.valid_from}`")).alias(history.valid_from),
         F.when(~is_new, ends).cast(time).alias(history.valid_to),
+        *([(is_new | ends.isNotNull() | F.coalesce(filled, F.lit(False))).alias(mark)] if mark else []),
     )
-    new = joined.where("__changed").select(*[F.col(f"s.`{c}`").alias(c) for c in own], F.col("__closes").alias(history.valid_from), F.lit(None).cast(time).alias(history.valid_to))
-    return closed.unionByName(standing).unionByName(new)
+    new = joined.where("__changed").select(*[F.col(f"s.`{c}`").alias(c) for c in own], F.col("__closes").alias(history.valid_from), F.lit(None).cast(time).alias(history.valid_to), *([F.lit(True).alias(mark)] if mark else []))
+    after = standing.unionByName(new)
+    if not keep_closed:
+        return after
+    return closed.select(*target.columns, *([F.lit(False).alias(mark)] if mark else [])).unionByName(after)
 
 
 #: User materializations by name: insert(target, source, **arguments) gives the next state.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import threading
-from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+import functools
+import re
+from collections.abc import Callable, Collection, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime, timedelta
-from typing import Any
+from typing import Any, ClassVar
 
+import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,52 +20,74 @@ from sparkmodel.operators import writers as W
 from sparkmodel.operators.audits import Outcome, enforce, failures
 from sparkmodel.operators.table_diff import RowDiff, multiset_diff
 from sparkmodel.plans import intervals as iv
+from sparkmodel.plans.buckets import history_load, merge_load
+from sparkmodel.plans.cases import frozen_times, only_cte
 from sparkmodel.plans.graphs import Graph, Selector, run_graph
 from sparkmodel.plans.lineage import column_lineage
 from sparkmodel.plans.models import Category, Fingerprint, Kind, Model, ModelChange, categorized, fingerprints
+from sparkmodel.plans.plan_changes import only_adds_columns
 from sparkmodel.plans.storage import Files, TableStore
 from sparkmodel.plans.times import Cron, TimeLike, exclusive_end, from_millis, literal, millis, to_datetime, variables
-from sparkmodel.sources.tables import seed
+from sparkmodel.sources.tables import pandas_schema, seed, typed_values
+from sparkmodel.streaming.loads import merge_stream
 
 
 class Ledger:
-    """What has been loaded and what each environment shows: small JSON files, replaced as a whole."""
+    """What has been loaded and what each environment shows: numbered JSON documents, of which the last one counts.
+
+    A change is made to the last document and added under the next number; where another process was there first, it is
+    made again to that process's document, so none is lost.
+    """
+
+    #: Steps from one form of the state to the next, by the number of the form they start from.
+    MIGRATIONS: ClassVar[dict[int, Callable[[dict[str, Any]], dict[str, Any]]]] = {}
 
     def __init__(self, files: Files):
-        self.files, self.lock = files, threading.Lock()
+        self.files = files
 
     def get(self, name: str, default: Any) -> Any:
-        return json.loads(self.files.read(f"{name}.json")) if self.files.exists(f"{name}.json") else default
+        found = self.files.latest(name)[1]
+        return default if found is None else found
 
     def put(self, name: str, value: Any) -> None:
-        self.files.write(f"{name}.json", json.dumps(value, indent=1, sort_keys=True))
+        self.files.update(name, lambda _: value)
 
     def intervals(self, table: str) -> list[iv.Interval]:
         return [tuple(x) for x in self.get("intervals", {}).get(table, [])]
 
     def change_intervals(self, table: str, change: Callable[[list[iv.Interval]], list[iv.Interval]]) -> None:
-        with self.lock:
-            every = self.get("intervals", {})
-            every[table] = change([tuple(x) for x in every.get(table, [])])
-            self.put("intervals", every)
+        self.files.update("intervals", lambda every: {**(every or {}), table: change([tuple(x) for x in (every or {}).get(table, [])])})
 
     def dump(self) -> dict[str, Any]:
         """All state, to be kept elsewhere or loaded into another project."""
-        return {n: self.get(n, {}) for n in ("intervals", "environments", "restatements")}
+        return {n: self.get(n, {}) for n in ("intervals", "environments", "restatements")} | {"form": self.form}
 
     def load(self, state: Mapping[str, Any]) -> None:
-        with self.lock:
-            for name, value in state.items():
+        for name, value in migrated(dict(state), self.MIGRATIONS).items():
+            if name != "form":
                 self.put(name, value)
 
+    @property
+    def form(self) -> int:
+        return max(self.MIGRATIONS, default=0) + 1
+
     def environment(self, name: str) -> dict[str, Any] | None:
         return self.get("environments", {}).get(name)
 
-    def change_environments(self, change: Callable[[dict[str, Any]], None]) -> None:
-        with self.lock:
-            every = self.get("environments", {})
+    def change_environments(self, change: Callable[[dict[str, Any]], Any]) -> None:
+        def changed(every: dict[str, Any] | None) -> dict[str, Any]:
+            every = dict(every or {})
             change(every)
-            self.put("environments", every)
+            return every
+
+        self.files.update("environments", changed)
+
+
+def migrated(state: dict[str, Any], steps: Mapping[int, Callable[[dict[str, Any]], dict[str, Any]]]) -> dict[str, Any]:
+    """State of an older form after every step from its form on."""
+    for number in sorted(n for n in steps if n >= state.get("form", 1)):
+        state = steps[number](state) | {"form": number + 1}
+    return state
 
 
 @dataclass
@@ -89,6 +114,7 @@ class Plan:
     missing: dict[str, list[iv.Interval]]
     restated: dict[str, iv.Interval] = field(default_factory=dict)
     execution: datetime = field(default_factory=lambda: datetime.now(UTC))
+    deployable: dict[str, bool] = field(default_factory=dict)
 
     @property
     def empty(self) -> bool:
@@ -101,6 +127,11 @@ class Plan:
         out += [f"load {n}: {len(i)} intervals" for n, i in self.missing.items() if i]
         return [*out, f"show {len(self.tables)} models in {self.environment}"]
 
+    def stages(self) -> list[tuple[str, list[str]]]:
+        """(stage, models) in the order in which apply() goes through them; stages without models are left out."""
+        found = [("restate", sorted(self.restated)), ("load", [n for n, i in self.missing.items() if i]), ("promote", sorted(self.tables)), ("demote", self.removed)]
+        return [("before_all", []), *[(n, m) for n, m in found if m], ("after_all", [])]
+
 
 class Context:
     """A project over one session and one root folder."""
@@ -133,15 +164,54 @@ class Context:
     def diff(self, environment: str = "prod") -> tuple[list[ModelChange], list[str]]:
         """Changed models with their categories, and removed ones, against an environment."""
         shown = (self.ledger.environment(environment) or {}).get("fingerprints", {})
-        before = {n: Fingerprint(**f) for n, f in shown.items()}
-        return categorized(before, self.fingerprints(), self.graph.children, self.models), sorted(set(before) - set(self.models))
+        before, after = {n: Fingerprint(**f) for n, f in shown.items()}, self.fingerprints()
+
+        def adds_only(name: str) -> bool:
+            return before[name].shape == after[name].shape and self.adds_columns(name, environment)
+
+        return categorized(before, after, self.graph.children, self.models, adds_only), sorted(set(before) - set(self.models))
+
+    def adds_columns(self, name: str, environment: str) -> bool:
+        """Whether a model's SQL differs from what the environment shows by further output columns alone."""
+        shown = self.ledger.environment(environment) or {}
+        old, m = shown.get("queries", {}).get(name), self.models[name]
+        if old is None or not isinstance(m.query, str):
+            return False
+        now = datetime.now(UTC)
+        try:
+            before, after = (self.query(q, shown["tables"], (now, now), now) for q in (replace(m, query=old, columns=None), replace(m, columns=None)))
+            return only_adds_columns(before, after)
+        except (PySparkException, KeyError):
+            # what cannot be analyzed, as with a parent that is not loaded yet, cannot be told apart
+            return False
+
+    def deployable(self, changes: Iterable[ModelChange]) -> dict[str, bool]:
+        """Whether what a development environment loads of a model may be shown in production later.
+
+        It may not if the model's change is forward-only, for its table then holds rows of the old form, nor if one of
+        its parents is not deployable. Models that did not change are.
+        """
+        direct = {c.name: c.category for c in changes}
+        out: dict[str, bool] = {}
+        for name in self.graph.order():
+            own = direct.get(name) not in (Category.FORWARD_ONLY, Category.INDIRECT_NON_BREAKING) or name not in direct
+            out[name] = own and all(out.get(p, True) for p in self.models[name].parents if p != name)
+        return out
+
+    def table_names(self, environment: str, changes: list[ModelChange], forward: str = "prod") -> dict[str, str]:
+        """The table of each stored model: a new one for a breaking change, else the one that is shown.
 
-    def table_names(self, environment: str, changes: list[ModelChange]) -> dict[str, str]:
-        """The table of each stored model: a new one for a breaking change, else the one that is shown."""
+        What is not deployable gets a table for previews of its own in an environment other than `forward`.
+        """
         shown = (self.ledger.environment(environment) or {}).get("tables", {})
         anew = {c.name for c in changes if c.category in (Category.BREAKING, Category.INDIRECT_BREAKING, Category.NON_BREAKING)}
-        prints = self.fingerprints()
-        return {n: shown[n] if n in shown and n not in anew else f"{n.replace('.', '__')}__{prints[n].version}" for n, m in self.models.items() if m.kind.stored}
+        prints, may = self.fingerprints(), self.deployable(changes)
+        out = {}
+        for n, m in self.models.items():
+            if m.stored:
+                fresh = f"{n.replace('.', '__')}__{prints[n].version}"
+                out[n] = f"{fresh}__{environment}" if environment != forward and not may[n] else shown[n] if n in shown and n not in anew else fresh
+        return out
 
     def start_of(self, name: str, now: datetime, seen: tuple[str, ...] = ()) -> int:
         m = self.models[name]
@@ -168,7 +238,7 @@ class Context:
         again: dict[str, iv.Interval] = {}
         names = self.selector().select(*restate) if restate else set()
         for n in self.graph.order():
-            if n in names or names & self.graph.upstream(n):
+            if (n in names or names & self.graph.upstream(n)) and not self.models[n].disable_restatement:
                 m = self.models[n]
                 low = millis(to_datetime(start, at)) if start is not None else self.start_of(n, at)
                 high = millis(exclusive_end(end, at)) if end is not None else millis(at)
@@ -180,10 +250,10 @@ class Context:
                 for gone in [again[n]] if n in again else []:
                     left = iv.removed(left, gone)
                 missing[n] = self.missing_of(n, tables[n], at, start, end, left)
-        return Plan(environment, changes, removed, tables, missing, again, at)
+        return Plan(environment, changes, removed, tables, missing, again, at, self.deployable(changes))
 
-    def apply(self, plan: Plan) -> dict[str, list[Outcome]]:
-        """Load what is missing, parents first, and let the environment show the result."""
+    def apply(self, plan: Plan, days: float | None = None) -> dict[str, list[Outcome]]:
+        """Load what is missing, parents first, and let the environment show the result, for so many days if given."""
         for statement in self.before_all:
             self.spark.sql(statement)
         for name, gone in plan.restated.items():
@@ -191,7 +261,9 @@ class Context:
                 self.ledger.change_intervals(plan.tables[name], lambda i, g=gone: iv.removed(i, g))
         outcomes = self.load(plan.tables, plan.missing, plan.execution)
         prints = {n: vars(f) for n, f in self.fingerprints().items()}
-        self.ledger.change_environments(lambda e: e.update({plan.environment: {"tables": plan.tables, "fingerprints": prints, "finalized": millis(plan.execution)}}))
+        until = None if days is None else millis(plan.execution) + round(days * 86_400_000)
+        queries = {n: m.query for n, m in self.models.items() if isinstance(m.query, str)}
+        self.ledger.change_environments(lambda e: e.update({plan.environment: {"tables": plan.tables, "fingerprints": prints, "queries": queries, "finalized": millis(plan.execution), "until": until}}))
         for statement in self.after_all:
             self.spark.sql(statement)
         return outcomes
@@ -243,8 +315,16 @@ class Context:
                 todo[name] = missing_now
             size = m.batch_size if m.kind.incremental else None
             spans = iv.batches(todo[name], size) if m.kind.incremental else [(todo[name][0][0], todo[name][-1][1])] if todo[name] else []
+            found = outcomes.setdefault(name, []) if spans else []
+            if spans and m.batch_concurrency and not m.sequential and m.kind is Kind.TIME_RANGE:
+                # the first batch makes the table, the others replace parts of their own
+                found.extend(self.load_span(m, tables, spans[0], now))
+                with ThreadPoolExecutor(m.batch_concurrency) as pool:
+                    for more in pool.map(lambda s: self.load_span(m, tables, s, now), spans[1:]):
+                        found.extend(more)
+                return
             for span in spans:
-                outcomes.setdefault(name, []).extend(self.load_span(m, tables, span, now))
+                found.extend(self.load_span(m, tables, span, now))
 
         todo = {n: list(i) for n, i in missing.items()}
         graph = self.graph.only([n for n in self.graph.order() if todo.get(n)])
@@ -260,24 +340,39 @@ class Context:
         if m is None:
             return self.spark.table(name)
         if m.kind is Kind.EXTERNAL:
-            return self.spark.read.parquet(m.path)
-        if m.kind.stored:
+            kind, _, place = m.path.partition(":")
+            return self.spark.table(place) if kind == "catalog" else self.spark.read.format(m.arguments.get("format", "parquet")).load(m.path)
+        if m.stored:
             if not self.store.exists(tables[name]) and m.columns is not None:
                 return self.spark.createDataFrame([], m.columns)
             return self.store.read(tables[name])
         return self.query(m, tables, span, now)
 
-    def query(self, m: Model, tables: Mapping[str, str], span: tuple[datetime, datetime] | None, now: datetime) -> DataFrame:
-        """The lazy result of a model's query over a range."""
+    def rows_of(self, m: Model, made: Any) -> DataFrame:
+        """What a model's function gives as a frame: a frame, a pandas frame, or batches of these, which are put together."""
+        if isinstance(made, DataFrame):
+            return made
+        if isinstance(made, pd.DataFrame):
+            schema = m.columns if m.columns is not None else pandas_schema(made)
+            return typed_values(self.spark, made[schema.names] if m.columns is not None else made, schema)
+        batches = [self.rows_of(m, b) for b in made if b is not None and not (isinstance(b, pd.DataFrame) and b.empty)]
+        if not batches:
+            if m.columns is None:
+                raise ValueError(f"{m.name} gives no rows and declares no columns")
+            return self.spark.createDataFrame([], m.columns)
+        return functools.reduce(DataFrame.unionByName, batches)
+
+    def query(self, m: Model, tables: Mapping[str, str], span: tuple[datetime, datetime] | None, now: datetime, frozen: datetime | None = None) -> DataFrame:
+        """The lazy result of a model's query over a range; with `frozen` its SQL's current date and time are that one's."""
         if m.kind is Kind.SEED:
             return seed(self.spark, m.path, m.columns)
         ranged = span if m.kind.incremental else None
         values = {**self.settings, **variables(ranged[0] if ranged else None, ranged[1] if ranged else None, now)}
         if callable(m.query):
-            found = m.query(RunContext(self.spark, lambda n: self.frame(n, tables, span, now), values, *(ranged or (None, None)), now))
+            found = self.rows_of(m, m.query(RunContext(self.spark, lambda n: self.frame(n, tables, span, now), values, *(ranged or (None, None)), now)))
         else:
             parents = {p: self.frame(p, tables, span, now) for p in m.parents}
-            text = m.query
+            text = m.query if frozen is None else frozen_times(m.query, frozen)
             for p in parents:
                 text = text.replace(f"{{{p}}}", f"{{{p.replace('.', '__')}}}")
             used = {k: v for k, v in values.items() if f":{k}" in text}
@@ -292,7 +387,7 @@ class Context:
             self.spark.sql(statement)
         rows = self.query(m, tables, (low, high), now)
         present = self.store.read(name) if self.store.exists(name) else None
-        if present is not None and m.kind.incremental and m.kind is not Kind.HISTORY:
+        if present is not None and m.kind.incremental and m.kind is not Kind.HISTORY and not rows.isStreaming:
             self.store.evolve(name, rows.schema, m.on_destructive, m.on_additive)
             present = self.store.read(name)
         found: list[Outcome] = []
@@ -301,15 +396,29 @@ class Context:
             if m.audits:
                 found.extend(enforce(self.in_range(m, staged, low, high), m.audits))
 
-        whole = self.store.parts(name).keys() <= {""} if present is not None else False
-        if m.kind is Kind.TIME_RANGE and not (whole and self.store.parts(name)):
+        whole = present is not None and "" in self.store.parts(name)
+        if m.kind is Kind.TIME_RANGE and m.partition_by_time_column and not whole:
             self.write_range(m, name, rows, low, high, check)
-        elif (m.kind is Kind.PARTITION or m.overwrite) and not (whole and self.store.parts(name)):
+        elif (m.kind is Kind.PARTITION or m.overwrite) and not whole:
             self.store.replace_parts(name, rows, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in m.partition_by]), check=check)
+        elif m.kind is Kind.UNIQUE_KEY:
+            merge_load(self.store, name, rows, m.keys, m.when_matched, m.merge_filter, check=check, buckets=m.buckets)
+        elif m.kind is Kind.HISTORY:
+            # a model leaves versions of missing keys open unless it says otherwise
+            history = m.history if m.history.invalidate_hard_deletes is not None else replace(m.history, invalidate_hard_deletes=False)
+            history_load(self.store, name, rows, history, now.replace(tzinfo=None), check, m.buckets)
+        elif m.kind is Kind.MANAGED:
+            merge_stream(rows, self.store, name, m.keys, f"{self.store.files.root}/{name}-progress", [c.removesuffix(" desc") for c in m.arguments.get("order", ())]).awaitTermination()
+            if self.store.exists(name):
+                check(self.store.read(name))
         elif m.kind is Kind.UNMANAGED and present is not None:
             self.store.append(name, rows, check)
         else:
             self.store.write(name, self.next_state(m, present, rows, low, high, now), m.partition_by, check)
+        if self.store.exists(name) and (m.properties or m.comments):
+            noted = {**m.properties, **({"comments": dict(m.comments)} if m.comments else {})}
+            if self.store.properties(name) != noted:
+                self.store.set_properties(name, **noted)
         self.ledger.change_intervals(name, lambda i: iv.merged([*i, span]))
         for statement in m.after:
             self.spark.sql(statement)
@@ -341,17 +450,13 @@ class Context:
         return tuple(F.lit(literal(t, kind, m.time_format)).cast(df.schema[m.time_column].dataType) for t in (low, high - timedelta(microseconds=1)))
 
     def next_state(self, m: Model, present: DataFrame | None, rows: DataFrame, low: datetime, high: datetime, now: datetime) -> DataFrame:
-        if m.kind is Kind.HISTORY:
-            return W.historized(present, rows, m.history, now.replace(tzinfo=None), first_load=present is None)
         if m.kind is Kind.CUSTOM:
             return W.MATERIALIZATIONS[m.custom](present, rows, **m.arguments)
         if m.kind is Kind.TIME_RANGE:
             lo, hi = self.time_bounds(m, rows, low, high)
             return W.overwritten_range(present if present is not None else rows.limit(0), rows, m.time_column, lo, hi)
         if present is None or not m.kind.incremental:
-            return W.first_per_key(rows, m.keys) if m.kind is Kind.UNIQUE_KEY else W.replaced(present, rows) if present is not None and present.schema == rows.schema else rows
-        if m.kind is Kind.UNIQUE_KEY:
-            return W.merged(present, rows, m.keys, m.when_matched, m.merge_filter)
+            return W.replaced(present, rows) if present is not None and present.schema == rows.schema else rows
         if m.kind is Kind.PARTITION or m.overwrite:
             return W.overwritten_partitions(present, rows, m.partition_by)
         return W.appended(present, rows)
@@ -383,6 +488,12 @@ class Context:
         rows = self.query(m, tables, span, now)
         return rows.limit(limit) if limit is not None else rows
 
+    def fetch(self, sql: str, environment: str = "prod", limit: int | None = None) -> DataFrame:
+        """The result of a SQL query over what an environment shows, models being named as in create_views()."""
+        self.create_views(environment)
+        rows = self.spark.sql(sql)
+        return rows.limit(limit) if limit is not None else rows
+
     def render(self, name: str) -> str:
         """The model's optimized logical plan."""
         return self.evaluate(name)._jdf.queryExecution().optimizedPlan().toString()
@@ -406,14 +517,15 @@ class Context:
                 out[name] = RowDiff(self.table(name, source), self.table(name, target), keys, decimals, where)
         return out
 
-    def test(self, case: Mapping[str, Any]) -> DataFrame:
-        """Run a model on given rows: {model, inputs: {name: (rows, schema)}, expected: (rows, schema), vars, partial, range}.
+    def test(self, case: Mapping[str, Any], cte: str | None = None) -> DataFrame:
+        """Run a model on given rows: {model, inputs: {name: rows}, expected: rows, ctes: {name: rows}, vars, partial, range}.
 
-        The result holds missing and unexpected rows; it is empty if the test passes. With partial only the expected
-        columns are compared.
+        Rows are (rows, schema), a frame, or {"query": SQL}. The result holds missing and unexpected rows; it is empty if
+        the test passes. With partial only the expected columns are compared. With `cte` it is the rows of that common
+        table expression of the model's SQL that are compared. Current date and time are those of `execution`.
         """
         m = self.models[case["model"]]
-        inputs = {n: self.spark.createDataFrame(*given) for n, given in case["inputs"].items()}
+        inputs = {n: self.given(rows) for n, rows in case["inputs"].items()}
         now = to_datetime(case.get("execution", "2000-01-01"))
         low, high = case.get("range", ("2000-01-01", "2000-01-01"))
         span = (to_datetime(low), exclusive_end(high))
@@ -421,14 +533,31 @@ class Context:
         trial.__dict__.update(self.__dict__)
         trial.settings = {**self.settings, **case.get("vars", {})}
         trial.frame = lambda name, *_: inputs[name]  # type: ignore[method-assign]
-        actual = trial.query(m, {}, span, now)
-        expected = self.spark.createDataFrame(*case["expected"])
+        if cte is not None:
+            m = replace(m, query=only_cte(m.query, cte), columns=None)
+        actual = trial.query(m, {}, span, now, now)
+        expected = self.given(case["expected"] if cte is None else case["ctes"][cte])
         if not case.get("partial"):
             extra = set(actual.columns) - set(expected.columns)
             if extra:
                 raise AssertionError(f"unexpected columns {sorted(extra)}")
         return multiset_diff(align(expected, actual.select(expected.columns).schema), actual.select(expected.columns))
 
+    def given(self, rows: Any) -> DataFrame:
+        """The rows of a test: a frame, {"query": SQL}, or rows and schema."""
+        if isinstance(rows, DataFrame):
+            return rows
+        return self.spark.sql(rows["query"]) if isinstance(rows, Mapping) else self.spark.createDataFrame(*rows)
+
+    def run_tests(self, cases: Mapping[str, Mapping[str, Any]]) -> dict[str, DataFrame]:
+        """The differences of every case, and of every common table expression that one has rows for ('case/cte')."""
+        out = {}
+        for name, case in cases.items():
+            out[name] = self.test(case)
+            for cte in case.get("ctes", {}):
+                out[f"{name}/{cte}"] = self.test(case, cte)
+        return out
+
     def create_test(self, name: str, limit: int = 10, start: TimeLike = "2000-01-01", end: TimeLike = "2000-01-01", environment: str = "prod") -> dict[str, Any]:
         """A test of a model from present rows: some of each parent's, and what the model makes of them."""
         tables = (self.ledger.environment(environment) or {"tables": {}})["tables"]
@@ -462,13 +591,49 @@ class Context:
                     out[name] = left
         return out
 
-    def lint(self, more: Mapping[str, Callable[[Model], bool]] | None = None) -> dict[str, list[str]]:
-        """Rules that models break, by model. `more` holds further rules: true for a model that breaks one."""
+    def analysis(self, m: Model) -> str | None:
+        """The class of the error that analyzing a model's SQL ends with, without what details it; None if it is fine."""
+        tables = (self.ledger.environment("prod") or {"tables": {}})["tables"]
+        now = datetime.now(UTC)
+        if not isinstance(m.query, str):
+            return None
+        try:
+            self.query(m, tables, (now, now), now)
+        except PySparkException as e:
+            return (e.getCondition() or "").partition(".")[0]
+        except KeyError:
+            return None
+        return None
+
+    def ambiguous_projections(self, m: Model) -> bool:
+        """Whether output columns of a model's SQL share a name, or have one that Spark made up from an expression."""
+        tables = (self.ledger.environment("prod") or {"tables": {}})["tables"]
+        now = datetime.now(UTC)
+        if not isinstance(m.query, str):
+            return False
+        try:
+            names = self.query(replace(m, columns=None), tables, (now, now), now).columns
+        except (PySparkException, KeyError):
+            return False
+        return len(set(map(str.lower, names))) < len(names) or any(not re.fullmatch(r"\w+", n) for n in names)
+
+    def lint(self, more: Mapping[str, Callable[[Model], bool]] | None = None, tested: Collection[str] | None = None) -> dict[str, list[str]]:
+        """Rules that models break, by model. `more` holds further rules: true for a model that breaks one.
+
+        `tested` are the models that have a test; without it that rule is left out.
+        """
+        def stars(m: Model) -> bool:
+            return isinstance(m.query, str) and "select *" in " ".join(m.query.lower().split())
+
         rules: dict[str, Callable[[Model], bool]] = {
-            "no_select_star": lambda m: isinstance(m.query, str) and "select *" in " ".join(m.query.lower().split()),
-            "no_missing_audits": lambda m: m.kind.stored and m.kind is not Kind.SEED and not m.audits,
+            "no_select_star": stars,
+            "no_missing_audits": lambda m: m.stored and m.kind is not Kind.SEED and not m.audits,
             "no_missing_owner": lambda m: not m.owner,
-            "no_missing_grain": lambda m: m.kind.stored and not m.grain,
+            "no_missing_grain": lambda m: m.stored and not m.grain,
+            "no_missing_unit_test": lambda m: m.kind is not Kind.EXTERNAL and tested is not None and m.name not in tested,
+            "invalid_select_star_expansion": lambda m: stars(m) and any(p in self.models and self.models[p].kind is Kind.EXTERNAL and self.models[p].columns is None for p in m.parents),
+            "ambiguous_or_invalid_column": lambda m: self.analysis(m) in ("UNRESOLVED_COLUMN", "AMBIGUOUS_REFERENCE", "UNRESOLVED_FIELD"),
+            "no_ambiguous_projections": self.ambiguous_projections,
             "no_missing_external_models": lambda m: any(p not in self.models for p in m.parents),
             **(more or {}),
         }
@@ -476,6 +641,18 @@ class Context:
 
     # housekeeping
 
+    def create_external_models(self, tables: Iterable[str]) -> list[Model]:
+        """Models of catalog tables that no model makes, with their columns as they are."""
+        return [Model(t, kind=Kind.EXTERNAL, path=f"catalog:{t}", columns=self.spark.table(t).schema) for t in tables if t not in self.models]
+
+    def expire(self, now: TimeLike | None = None) -> list[str]:
+        """Take away the environments whose time is over."""
+        at = millis(to_datetime(now) if now is not None else datetime.now(UTC))
+        over = [n for n, e in self.ledger.get("environments", {}).items() if e.get("until") is not None and e["until"] <= at]
+        for n in over:
+            self.invalidate_environment(n)
+        return sorted(over)
+
     def invalidate_environment(self, name: str) -> None:
         self.ledger.change_environments(lambda e: e.pop(name, None))
 
@@ -483,9 +660,10 @@ class Context:
         return sorted(self.ledger.get("environments", {}))
 
     def janitor(self) -> list[str]:
-        """Delete tables that no environment shows, and old versions of those that one does."""
+        """Delete expired environments, tables that none shows, and old versions of those that one does."""
+        self.expire()
         shown = {t for e in self.ledger.get("environments", {}).values() for t in e["tables"].values()}
-        gone = [t for t in self.store.files.names() if t not in shown]
+        gone = [t for t in self.store.files.names() if t not in shown and t.removesuffix("-progress") not in shown and not self.store.in_use(t)]
         for t in gone:
             self.store.drop(t)
             self.ledger.change_intervals(t, lambda _: [])

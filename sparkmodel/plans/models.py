@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import inspect
 import json
@@ -9,9 +10,11 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from enum import Enum
-from typing import Any
+from types import UnionType
+from typing import Any, Union, get_args, get_origin, get_type_hints
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkmodel.operators.audits import Audit
@@ -32,6 +35,7 @@ class Kind(Enum):
     UNMANAGED = "unmanaged"
     HISTORY = "history"
     CUSTOM = "custom"
+    MANAGED = "managed"
 
     @property
     def incremental(self) -> bool:
@@ -69,6 +73,13 @@ class Model:
     signals: Sequence[Callable[..., Any]] = ()
     grain: Sequence[str] = ()
     batch_size: int | None = None
+    batch_concurrency: int | None = None
+    buckets: int | None = None
+    partition_by_time_column: bool = True
+    materialized: bool = False
+    disable_restatement: bool = False
+    properties: Mapping[str, Any] = field(default_factory=dict)
+    comments: Mapping[str, str] = field(default_factory=dict)
     restate_cron: str | None = None
     restate_intervals: int | None = None
     lookback: int = 0
@@ -84,7 +95,7 @@ class Model:
     description: str | None = None
 
     def __post_init__(self) -> None:
-        needs = {Kind.TIME_RANGE: "time_column", Kind.UNIQUE_KEY: "keys", Kind.PARTITION: "partition_by", Kind.HISTORY: "history", Kind.CUSTOM: "custom", Kind.SEED: "path", Kind.EXTERNAL: "path"}
+        needs = {Kind.TIME_RANGE: "time_column", Kind.UNIQUE_KEY: "keys", Kind.PARTITION: "partition_by", Kind.HISTORY: "history", Kind.CUSTOM: "custom", Kind.SEED: "path", Kind.EXTERNAL: "path", Kind.MANAGED: "keys"}
         wanted = needs.get(self.kind)
         if wanted and not getattr(self, wanted):
             raise ValueError(f"{self.name}: kind {self.kind.value} needs {wanted}")
@@ -102,6 +113,11 @@ class Model:
     def interval_unit(self) -> IntervalUnit:
         return self.unit or Cron(self.cron).unit()
 
+    @property
+    def stored(self) -> bool:
+        """Whether the model has a table of its own; a materialized view has one."""
+        return self.kind.stored or self.kind is Kind.VIEW and self.materialized
+
     @property
     def reads_itself(self) -> bool:
         return self.name in self.parents
@@ -154,6 +170,86 @@ def blueprints(pattern: Model, variants: Sequence[Mapping[str, Any]], settings:
     return out
 
 
+def resolve_template(template: str, table: str) -> str:
+    """A template with @{catalog_name}, @{schema_name} and @{table_name} taken from a table's dotted name; missing ones are empty."""
+    parts = table.split(".")
+    names = dict(zip(("table_name", "schema_name", "catalog_name"), [*reversed(parts), "", "", ""], strict=False))
+    return re.sub(r"@\{(catalog_name|schema_name|table_name)\}", lambda m: names[m[1]], template)
+
+
+def coerced_argument(value: Any, kind: Any) -> Any:
+    """A macro's argument as the type that its signature names: numbers and truth values from text, sequences item by item."""
+    if kind is Any or kind is inspect.Parameter.empty:
+        return value
+    if get_origin(kind) in (Union, UnionType):
+        if value is None and type(None) in get_args(kind):
+            return None
+        for option in get_args(kind):
+            try:
+                return coerced_argument(value, option)
+            except (TypeError, ValueError):
+                continue
+        raise TypeError(f"{value!r} is none of {kind}")
+    if kind is type(None):
+        if value is None:
+            return None
+        raise TypeError(f"{value!r} is not None")
+    if get_origin(kind) in (list, tuple, set):
+        inner = get_args(kind) or (Any,)
+        items = list(value) if isinstance(value, (list, tuple, set)) else [value]
+        fixed = get_origin(kind) is tuple and Ellipsis not in inner and len(inner) > 0
+        if fixed and len(items) != len(inner):
+            raise TypeError(f"{value!r} has not {len(inner)} items")
+        return get_origin(kind)(coerced_argument(x, inner[i] if fixed else inner[0]) for i, x in enumerate(items))
+    if kind is bool:
+        if isinstance(value, bool):
+            return value
+        low = str(value).strip().lower()
+        if low in ("true", "1", "yes"):
+            return True
+        if low in ("false", "0", "no"):
+            return False
+        raise TypeError(f"{value!r} is no truth value")
+    if kind in (int, float, str):
+        if isinstance(value, bool) or isinstance(value, Column):
+            raise TypeError(f"{value!r} is no {kind.__name__}")
+        return kind(value)
+    if kind is Column:
+        return value if isinstance(value, Column) else F.col(value) if isinstance(value, str) else F.lit(value)
+    if isinstance(kind, type) and not isinstance(value, kind):
+        raise TypeError(f"{value!r} is no {kind.__name__}")
+    return value
+
+
+#: Macro functions by name.
+MACROS: dict[str, Callable[..., Any]] = {}
+
+
+def macro(name: str | None = None) -> Callable[[Callable[..., Any]], Callable[..., Any]]:
+    """Register a function as a macro: its arguments are coerced to the types of its signature."""
+
+    def register(function: Callable[..., Any]) -> Callable[..., Any]:
+        signature, hints = inspect.signature(function), get_type_hints(function)
+
+        @functools.wraps(function)
+        def call(*args: Any, **kwargs: Any) -> Any:
+            bound = signature.bind(*args, **kwargs)
+            for key, value in bound.arguments.items():
+                kind, sort = hints.get(key, Any), signature.parameters[key].kind
+                if sort is inspect.Parameter.VAR_POSITIONAL:
+                    bound.arguments[key] = tuple(coerced_argument(v, kind) for v in value)
+                elif sort is inspect.Parameter.VAR_KEYWORD:
+                    bound.arguments[key] = {k: coerced_argument(v, kind) for k, v in value.items()}
+                else:
+                    bound.arguments[key] = coerced_argument(value, kind)
+            return function(*bound.args, **bound.kwargs)
+
+        MACROS[name or function.__name__] = call
+        return call
+
+    return register
+
+
 class Category(Enum):
     """What a change means for the data that exists."""
 
@@ -177,6 +273,7 @@ class Fingerprint:
     metadata: str
     parent_data: str
     parent_metadata: str
+    shape: str = ""
 
     @property
     def version(self) -> str:
@@ -189,10 +286,11 @@ def fingerprints(models: Mapping[str, Model], order: Sequence[str]) -> dict[str,
         if name not in models:
             continue
         m = models[name]
-        data = digest(m.source_text(), list(m.before), list(m.after), m.kind.value, m.time_column, m.time_format, list(m.keys), [vars(w) for w in m.when_matched], m.merge_filter, str(m.history), list(m.partition_by), m.overwrite, m.custom, dict(m.arguments), m.columns.jsonValue() if m.columns else None, m.path, m.lookback)
-        metadata = digest(m.owner, list(m.tags), m.description, m.cron, str(m.start), str(m.end), [(a.name, str(a.arguments)) for a in m.audits], list(m.grain), m.batch_size)
+        shape = digest(list(m.before), list(m.after), m.kind.value, m.time_column, m.time_format, list(m.keys), [vars(w) for w in m.when_matched], m.merge_filter, str(m.history), list(m.partition_by), m.overwrite, m.custom, dict(m.arguments), m.columns.jsonValue() if m.columns else None, m.path, m.lookback, m.buckets, m.partition_by_time_column, m.materialized)
+        data = digest(m.source_text(), shape)
+        metadata = digest(m.owner, list(m.tags), m.description, m.cron, str(m.start), str(m.end), [(a.name, str(a.arguments)) for a in m.audits], list(m.grain), m.batch_size, m.batch_concurrency, m.disable_restatement, dict(m.properties), dict(m.comments))
         own = [out[p] for p in sorted(m.parents) if p in out and p != name]
-        out[name] = Fingerprint(data, metadata, digest([(p.data, p.parent_data) for p in own]), digest([(p.metadata, p.parent_metadata) for p in own]))
+        out[name] = Fingerprint(data, metadata, digest([(p.data, p.parent_data) for p in own]), digest([(p.metadata, p.parent_metadata) for p in own]), shape)
     return out
 
 
@@ -203,21 +301,6 @@ class ModelChange:
     direct: bool
 
 
-def only_adds_columns(before: DataFrame, after: DataFrame) -> bool:
-    """Whether a query became another one by further output columns alone: the plans below the last projection agree."""
-    def split(df: DataFrame) -> tuple[set[str], str]:
-        plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
-        lines = plan.rstrip().split("\n")
-        if not lines[0].startswith("Project ["):
-            return set(df.columns), plan
-        return set(re.split(r", (?![^(]*\))", lines[0][len("Project [") : -1])), "\n".join(line.replace("+- ", "", 1).strip() for line in lines[1:])
-
-    (had, below_before), (has, below_after) = split(before), split(after)
-    if had <= has and re.sub(r"\[.*?\]", "", below_before) == re.sub(r"\[.*?\]", "", below_after):
-        return set(before.columns) <= set(after.columns)
-    return False
-
-
 def categorized(before: Mapping[str, Fingerprint], after: Mapping[str, Fingerprint], graph_children: Mapping[str, set[str]], models: Mapping[str, Model], adds_only: Callable[[str], bool] = lambda name: False) -> list[ModelChange]:
     """The category of every changed model: its own change first, then what follows for those that depend on it."""
     direct: dict[str, Category] = {}

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkmodel.operators.writers import merged
+from sparkmodel.plans.buckets import merge_load
 from sparkmodel.plans.storage import TableStore
 
+#: Micro-batches after which what was replaced is deleted.
+VACUUM = 50
+
 
 def windowed(stream: DataFrame, time_column: str, window: str, lookback: str, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     """Aggregates of fixed windows; rows later than `lookback` behind the newest one are not waited for."""
@@ -20,11 +23,12 @@ def windowed(stream: DataFrame, time_column: str, window: str, lookback: str, ke
 
 
 def merge_stream(stream: DataFrame, store: TableStore, table: str, keys: Sequence[str], checkpoint: str, order: Sequence[str] = ()) -> StreamingQuery:
-    """Merge each micro-batch into a table by key. A batch that is delivered again changes nothing."""
+    """Merge each micro-batch into a table by key, rewriting the buckets of its keys. A batch that is delivered again changes nothing."""
     newest = [F.col(c).desc() for c in order]
 
-    def merge(batch: DataFrame, _: int) -> None:
-        rows = merged(store.read(table), batch, keys, order=newest) if store.exists(table) else merged(batch.limit(0), batch, keys, order=newest)
-        store.write(table, rows)
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_load(store, table, batch, keys, order=newest)
+        if number % VACUUM == VACUUM - 1:
+            store.vacuum(table)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
