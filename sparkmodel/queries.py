@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +16,7 @@ from sparkmodel.operators import interval_frames as I
 from sparkmodel.operators import table_diff as D
 from sparkmodel.operators import writers as W
 from sparkmodel.operators.metrics import Metric, Reference, SemanticModel
+from sparkmodel.session import scratch_folder
 from sparkmodel.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,17 +99,13 @@ def customers_of_orders(spark: SparkSession, orders: DataFrame, customer: DataFr
     return rows.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("status"), F.col("n_name").alias("nation")).distinct()
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
-def seed_csv_scan(spark: SparkSession, nation: DataFrame) -> DataFrame:
-    """A seed: a CSV file read with a declared schema."""
-    folder = Path(tempfile.mkdtemp(prefix="seed-"))
-    rows = nation.orderBy("n_nationkey").limit(100).collect()
-    (folder / "nation.csv").write_text("n_nationkey,n_name,n_regionkey\n" + "".join(f"{r[0]},{r[1]},{r[2]}\n" for r in rows))
-    try:
-        typed = S.seed(spark, str(folder), "n_nationkey int, n_name string, n_regionkey int").collect()
-    finally:
-        shutil.rmtree(folder)
-    return S.typed_values(spark, typed, "n_nationkey int, n_name string, n_regionkey int")
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_size, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS maybe FROM part")
+def seed_csv_scan(spark: SparkSession, part: DataFrame) -> DataFrame:
+    """A seed: CSV files with a header, read with declared types and texts that stand for null."""
+    folder = scratch_folder(spark, "seed")
+    rows = part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.when(F.col("p_size") % 5 == 0, "N/A").otherwise(F.col("p_brand")).alias("maybe"))
+    rows.write.csv(folder, header=True, quoteAll=True)
+    return S.seed(spark, folder, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, maybe string")
 
 
 @query("SELECT * FROM (VALUES (1, 'a', DATE '2020-01-01', [1, 2]), (2, NULL, NULL, NULL)) v(id, name, day, parts)")
@@ -276,9 +270,18 @@ def value_normalization(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return rows.select("o_orderkey", *[C.canonical_text(f.name, f.dataType).alias(f.name) for f in rows.schema.fields[1:]])
 
 
-@query("SELECT * FROM supplier WHERE (s_nationkey) IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 2))")
-def tuple_in_semi_join(spark: SparkSession, supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    return R.keys_in(supplier, ["s_nationkey"], nation.where("n_regionkey IN (1, 2)").select(F.col("n_nationkey").alias("s_nationkey")))
+@query("""SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem
+WHERE (l_orderkey, l_linenumber) IN (SELECT o_orderkey, CAST(o_orderkey % 7 AS INT) FROM orders WHERE o_orderstatus = 'F')""")
+def tuple_in_semi_join(spark: SparkSession, lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    keys = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7).cast("int").alias("l_linenumber"))
+    return R.keys_in(lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), ["l_orderkey", "l_linenumber"], keys)
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE (l_orderkey, l_linenumber) NOT IN (SELECT o_orderkey, CAST(o_orderkey % 7 AS INT) FROM orders)""")
+def tuple_not_in_anti_join(spark: SparkSession, lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    keys = orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7).cast("int").alias("l_linenumber"))
+    return R.keys_in(lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], keys, negate=True)
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE (o_custkey, o_orderkey) > (100, 500) ORDER BY o_custkey, o_orderkey LIMIT 50")
@@ -494,48 +497,66 @@ def history_column_composite_key(spark: SparkSession, customer: DataFrame) -> Da
 # audits
 
 
-def audit(name: str, table: str, sql: str, suffix: str = "", **arguments: Any) -> None:
-    """Register audit_<name> on a table. A condition or criteria are given as SQL text."""
+def audit(name: str, table: str, sql: str, suffix: str = "", derive: Sequence[str] = (), **arguments: Any) -> None:
+    """Register audit_<name> on a table, or on columns derived from it (SQL of both engines), {t} in the SQL.
+
+    A condition or criteria are given as SQL text.
+    """
     key = f"audit_{name}{suffix}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = {k: F.expr(v) if k == "condition" else [F.expr(x) for x in v] if k == "criteria" else v for k, v in arguments.items()}
-        return A.Audit(name, given).violations(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        return A.Audit(name, given).violations(rows.selectExpr(*derive) if derive else rows)
+
+    QUERIES[key], SQL[key] = run, sql.replace("{t}", f"(SELECT {', '.join(derive)} FROM {table})" if derive else table)
+
 
-    QUERIES[key], SQL[key] = run, sql
+def cases(number: str, values: Sequence[str | None], name: str) -> str:
+    """A column that takes the values in turn, by the remainder of a number: SQL of both engines."""
+    whens = " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for i, v in enumerate(values))
+    return f"CASE {number} % {len(values)} {whens} END AS {name}"
 
 
-audit("not_null", "customer", "SELECT * FROM customer WHERE c_name IS NULL OR c_acctbal IS NULL", columns=["c_name", "c_acctbal"])
+audit("not_null", "orders", "SELECT * FROM {t} WHERE a IS NULL OR b IS NULL", derive=["o_orderkey", "nullif(o_custkey % 5, 0) AS a", "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS b"], columns=["a", "b"])
 audit("accepted_values", "orders", "SELECT * FROM orders WHERE o_orderstatus NOT IN ('F', 'O')", column="o_orderstatus", is_in=["F", "O"])
 audit("not_accepted_values", "orders", "SELECT * FROM orders WHERE o_orderstatus IN ('P')", column="o_orderstatus", is_in=["P"])
 audit("forall", "lineitem", "SELECT * FROM lineitem WHERE NOT (l_quantity < 49) OR NOT (l_tax < 0.08)", criteria=["l_quantity < 49", "l_tax < 0.08"])
 audit("accepted_range", "lineitem", "SELECT * FROM lineitem WHERE l_discount < 0.01 OR l_discount > 0.09", column="l_discount", min_v=0.01, max_v=0.09)
 audit("accepted_range", "lineitem", "SELECT * FROM lineitem WHERE l_quantity >= 50 AND l_returnflag = 'R'", "_exclusive", column="l_quantity", max_v=50, inclusive=False, condition="l_returnflag = 'R'")
 audit("accepted_range", "nation", "SELECT * FROM nation", "_unbounded", column="n_regionkey")
-audit("not_empty_string", "documents", "SELECT * FROM documents WHERE text = ''", column="text")
-audit("valid_uuid", "nation", "SELECT * FROM nation", column="n_name")
-audit("valid_url", "pages", r"SELECT * FROM pages WHERE NOT regexp_matches(url, '^(https?|ftp)://[^\s/$.?#].[^\s]*$')", column="url")
-audit("valid_http_method", "region", "SELECT * FROM region WHERE r_name NOT IN ('GET', 'POST')", column="r_name")
-audit("valid_email", "customer", "SELECT * FROM customer", column="c_name")
-audit("match_regex_pattern_list", "part", "SELECT * FROM part WHERE NOT regexp_matches(p_brand, '^Brand') OR NOT regexp_matches(p_brand, '[1-3]$')", column="p_brand", patterns=["^Brand", "[1-3]$"])
+audit("not_empty_string", "part", "SELECT * FROM {t} WHERE name = '' AND p_size > 10", derive=["p_partkey", "p_size", cases("p_partkey", ["", None, "x", " "], "name")], column="name", condition="p_size > 10")
+UUIDS = ["123e4567-e89b-12d3-a456-426614174000", "123E4567-E89B-12D3-A456-426614174000", "123e4567-e89b-92d3-a456-426614174000", "123e4567-e89b-12d3-c456-426614174000", "123e4567e89b12d3a456426614174000", "x123e4567-e89b-12d3-a456-426614174000", None]
+audit("valid_uuid", "customer", "SELECT * FROM {t} WHERE NOT regexp_matches(lower(u), '^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$')", derive=["c_custkey", cases("c_custkey", UUIDS, "u")], column="u")
+URLS = ["http://example.com/a?b=c", "https://x", "ftp://host/p", "HTTP://example.com", "gopher://x.y", "http://a b", "http://?x", "example.com", "", None]
+audit("valid_url", "customer", r"SELECT * FROM {t} WHERE NOT regexp_matches(u, '^(https?|ftp)://[^\s/$.?#].[^\s]*$')", derive=["c_custkey", cases("c_custkey", URLS, "u")], column="u")
+audit("valid_http_method", "customer", "SELECT * FROM {t} WHERE m NOT IN ('GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'HEAD', 'OPTIONS', 'TRACE', 'CONNECT')", derive=["c_custkey", cases("c_custkey", ["GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS", "TRACE", "CONNECT", "get", "FETCH", "", None], "m")], column="m")
+EMAILS = ["a.b+c@d-e.org", "x_y@z.co.uk", "x@y", "@z.com", "a b@c.de", "a@b@c.de", "A-1@B.C-", None]
+audit("valid_email", "customer", r"SELECT * FROM {t} WHERE NOT regexp_matches(m, '^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$')", derive=["c_custkey", cases("c_custkey", EMAILS, "m")], column="m")
+audit("match_regex_pattern_list", "part", "SELECT * FROM part WHERE NOT regexp_matches(p_type, '^S') AND NOT regexp_matches(p_type, 'S$')", column="p_type", patterns=["^S", "S$"])
+audit("match_regex_pattern_list", "customer", r"SELECT * FROM {t} WHERE (NOT regexp_matches(a, '^\d.*') AND NOT regexp_matches(a, '.*!$')) AND c_nationkey > 3", "_digits", derive=["c_custkey", "c_nationkey", cases("c_custkey", ["1x", "x!", "2!", "xy", "!", "", None], "a")], column="a", patterns=[r"^\d.*", ".*!$"], condition="c_nationkey > 3")
 audit("not_match_regex_pattern_list", "part", "SELECT * FROM part WHERE regexp_matches(p_brand, '5$') OR regexp_matches(p_type, '^SMALL')", column="p_brand", patterns=["5$", "#1"])
 SQL["audit_not_match_regex_pattern_list"] = "SELECT * FROM part WHERE regexp_matches(p_brand, '5$') OR regexp_matches(p_brand, '#1')"
-audit("match_like_pattern_list", "part", "SELECT * FROM part WHERE p_type NOT LIKE '%S%' OR p_type NOT LIKE '%E%'", column="p_type", patterns=["%S%", "%E%"])
+audit("match_like_pattern_list", "part", "SELECT * FROM part WHERE p_type NOT LIKE 'S%' AND p_type NOT LIKE '%S'", column="p_type", patterns=["S%", "%S"])
+audit("match_like_pattern_list", "customer", "SELECT * FROM {t} WHERE a NOT LIKE 'jim%' AND a NOT LIKE 'pam%'", "_names", derive=["c_custkey", cases("c_custkey", ["jim", "pamela", "tim", "Jim", "", None], "a")], column="a", patterns=["jim%", "pam%"])
 audit("not_match_like_pattern_list", "part", "SELECT * FROM part WHERE p_type LIKE '%STEEL' OR p_type LIKE 'SMALL%'", column="p_type", patterns=["%STEEL", "SMALL%"])
 audit("string_length_between", "part", "SELECT * FROM part WHERE length(p_name) < 6 OR length(p_name) > 9", column="p_name", min_v=6, max_v=9)
 audit("string_length_equal", "part", "SELECT * FROM part WHERE length(p_brand) <> 8", column="p_brand", v=8)
 audit("unique_values", "customer", """SELECT * FROM (SELECT row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_mktsegment) AS rank_c_mktsegment FROM customer) WHERE rank_c_mktsegment > 1""", columns=["c_mktsegment"])
 audit("unique_combination_of_columns", "lineitem", "SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1", columns=["l_returnflag", "l_linestatus", "l_linenumber"])
 audit("number_of_rows", "region", "SELECT count(*) AS n_rows FROM region HAVING count(*) <= 10", threshold=10)
-audit("at_least_one", "events", "SELECT count(*) AS n_rows, count(value) AS n_values FROM events WHERE value IS NULL HAVING count(*) > 0 AND count(value) = 0", column="value", condition="value IS NULL")
+audit("at_least_one", "orders", "SELECT count(*) AS n_rows, count(v) AS n_values FROM {t} WHERE o_orderstatus = 'O' HAVING count(*) > 0 AND count(v) = 0", derive=["o_orderstatus", "CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS v"], column="v", condition="o_orderstatus = 'O'")
+audit("at_least_one", "orders", "SELECT count(*) AS n_rows, count(v) AS n_values FROM {t} HAVING count(*) > 0 AND count(v) = 0", "_passes", derive=["o_orderstatus", "CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS v"], column="v")
 audit("not_constant", "orders", "SELECT count(DISTINCT o_orderstatus) AS n_values FROM orders WHERE o_orderstatus = 'F' HAVING count(DISTINCT o_orderstatus) <= 1", column="o_orderstatus", condition="o_orderstatus = 'F'")
 audit("not_null_proportion", "customer", "SELECT count(*) AS n_rows, count(c_acctbal) AS n_values FROM customer HAVING count(c_acctbal) <= count(*) * 1.0", column="c_acctbal", threshold=1.0)
 audit("sequential_values", "orders", "SELECT * FROM (SELECT o_custkey, lag(o_custkey) OVER (ORDER BY o_custkey) AS prv FROM orders) WHERE NOT (o_custkey = prv + 1)", column="o_custkey")
+audit("unique_values", "orders", """SELECT rank_o_custkey, rank_o_orderkey FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_custkey) AS rank_o_custkey,
+  row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderkey) AS rank_o_orderkey FROM orders) WHERE rank_o_custkey > 1 OR rank_o_orderkey > 1""", "_of_two_columns", columns=["o_custkey", "o_orderkey"])
 audit("mutually_exclusive_ranges", "orders", """
-WITH w AS (SELECT o_orderdate AS lower_bound, o_orderdate AS upper_bound, lead(o_orderdate) OVER (ORDER BY o_orderdate, o_orderdate) AS next_lower_bound,
-  row_number() OVER (ORDER BY o_orderdate DESC) = 1 AS is_last_record FROM orders),
+WITH w AS (SELECT lo AS lower_bound, hi AS upper_bound, lead(lo) OVER (ORDER BY lo, hi) AS next_lower_bound,
+  row_number() OVER (ORDER BY lo DESC, hi DESC) = 1 AS is_last_record FROM {t} WHERE o_orderkey > 50),
 c AS (SELECT *, coalesce(lower_bound <= upper_bound, false) AS lower_bound_lte_upper_bound, coalesce(upper_bound <= next_lower_bound, is_last_record, false) AS upper_bound_lte_next_lower_bound FROM w)
-SELECT * FROM c WHERE NOT (lower_bound_lte_upper_bound AND upper_bound_lte_next_lower_bound)""", lower_bound_column="o_orderdate", upper_bound_column="o_orderdate")
+SELECT * FROM c WHERE NOT (lower_bound_lte_upper_bound AND upper_bound_lte_next_lower_bound)""", derive=["o_orderkey", "o_orderkey * 10 AS lo", "o_orderkey * 10 + o_custkey % 60 - 5 AS hi"], lower_bound_column="lo", upper_bound_column="hi", condition="o_orderkey > 50")
 RANGES = """
 WITH r AS (SELECT l_suppkey, l_orderkey AS lo, l_orderkey + CAST(l_quantity AS BIGINT) * 20 AS hi FROM lineitem),
 w AS (SELECT lo AS lower_bound, hi AS upper_bound, lead(lo) OVER (PARTITION BY l_suppkey ORDER BY lo, hi) AS next_lower_bound,
@@ -550,9 +571,9 @@ def audit_mutually_exclusive_ranges_partitioned(spark: SparkSession, lineitem: D
     return A.mutually_exclusive_ranges(rows, "lo", "hi", ["l_suppkey"])
 
 
-@query(RANGES.replace("PARTITION BY l_suppkey ", "").replace("FROM lineitem", "FROM lineitem WHERE l_linenumber = 1"))
+@query(RANGES.replace("PARTITION BY l_suppkey ", ""))
 def audit_mutually_exclusive_ranges_global(spark: SparkSession, lineitem: DataFrame) -> DataFrame:
-    rows = lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_quantity").cast("bigint") * 20).alias("hi"))
+    rows = lineitem.select(F.col("l_orderkey").alias("lo"), (F.col("l_orderkey") + F.col("l_quantity").cast("bigint") * 20).alias("hi"))
     return A.mutually_exclusive_ranges(rows, "lo", "hi")
 
 
@@ -774,8 +795,18 @@ def missing_with_lookback(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return I.missing_with_lookback(*loaded_days(spark, orders), "day", 2)
 
 
-@query("""SELECT * FROM (VALUES (1, 0, 3), (1, 5, 10), (2, 0, 4), (2, 6, 9), (3, 1, 2)) v(k, start, "end")""")
-def interval_subtract(spark: SparkSession) -> DataFrame:
-    left = S.typed_values(spark, [(1, 0, 10), (2, 0, 4), (2, 6, 12), (3, 1, 2), (4, 3, 5)], "k int, start int, end int")
-    right = S.typed_values(spark, [(1, 3, 5), (2, 9, 12), (4, 0, 9), (5, 1, 2)], "k int, start int, end int")
-    return I.subtracted(left, right, ["k"])
+DAY_SPANS = 'SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS start, CAST(floor(epoch(ts) / 86400) AS BIGINT) + 1 + event_id % {n} AS "end" FROM events WHERE event_id % 2 = {side}'
+
+
+@query(f"""WITH days AS (SELECT user_id, unnest(range(start, "end")) AS day FROM ({DAY_SPANS.format(n=5, side=0)})
+  EXCEPT SELECT user_id, unnest(range(start, "end")) FROM ({DAY_SPANS.format(n=2, side=1)})),
+runs AS (SELECT user_id, day, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS run FROM days)
+SELECT user_id, min(day) AS start, max(day) + 1 AS "end" FROM runs GROUP BY user_id, run""")
+def interval_subtract(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """What of each user's intervals (of even events) those of odd events leave."""
+    day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400)
+
+    def side(n: int, which: int) -> DataFrame:
+        return events.where(F.col("event_id") % 2 == which).select("user_id", day.alias("start"), (day + 1 + F.col("event_id") % n).alias("end"))
+
+    return I.subtracted(side(5, 0), side(2, 1), ["user_id"])

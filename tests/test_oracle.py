@@ -8,7 +8,8 @@ import os
 import duckdb
 import pytest
 
-from sparkmodel.queries import QUERIES, SQL
+from sparkmodel.project_queries import QUERIES
+from sparkmodel.queries import SQL
 
 
 def norm(v):
