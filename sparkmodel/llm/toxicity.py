@@ -106,6 +106,11 @@ def lay_windows(first: np.ndarray, count: np.ndarray, stride: int = STRIDE) -> t
     return np.where(at < count[text], first[text] + at, -1), start
 
 
+def summed(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): the rows of each index added up."""
+    return np.stack([np.bincount(index, column, n) for column in np.ascontiguousarray(rows.T)], axis=1).astype(rows.dtype)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -191,6 +196,8 @@ class Network:
         g["att"] = np.einsum("tnh,tna->ha", h, d_hidden)
         d_h = d_h + d_hidden @ self.p["att"].T
         d_vectors = np.zeros_like(vectors)
+        flat = index.ravel()
+        there_at = np.flatnonzero(flat >= 0)
         for side, at in (("f", 0), ("b", HIDDEN)):
             rec = self.p[f"rec_{side}"]
             d_rec, carry = np.zeros_like(rec), np.zeros((index.shape[1], HIDDEN), np.float32)
@@ -205,14 +212,9 @@ class Network:
                 d_hu = np.concatenate((d_z, d_r, d_new * r), axis=1)
                 d_rec += before.T @ d_hu
                 carry = d_hu @ rec.T + live * z + (total - live)
-            flat, pre = index.ravel(), d_pre.reshape(-1, 3 * HIDDEN)
-            there = flat >= 0
-            flat, pre = flat[there], pre[there]
-            order = np.argsort(flat, kind="stable")
-            used, start = np.unique(flat[order], return_index=True)
-            by_word = np.add.reduceat(pre[order], start, axis=0) if len(used) else np.zeros((0, 3 * HIDDEN), np.float32)
-            g |= {f"rec_{side}": d_rec, f"bias_{side}": by_word.sum(axis=0), f"in_{side}": vectors[used].T @ by_word}
-            d_vectors[used] += by_word @ self.p[f"in_{side}"].T
+            by_word = summed(flat[there_at], d_pre.reshape(-1, 3 * HIDDEN)[there_at], len(vectors))
+            g |= {f"rec_{side}": d_rec, f"bias_{side}": by_word.sum(axis=0), f"in_{side}": vectors.T @ by_word}
+            d_vectors += by_word @ self.p[f"in_{side}"].T
         return g, d_vectors
 
     def score(self, words: Words) -> np.ndarray:
@@ -272,12 +274,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 32,
             g["word"] = np.zeros_like(net.p["word"])
             np.add.at(g["word"], row, d_vectors[:, :WORD_DIM])
             g["word"][-1] = 0
-            g["char"] = np.zeros_like(net.p["char"])
-            order_g = np.argsort(part.grams, kind="stable")
-            of_word = np.repeat(np.arange(len(used)), size[used])[order_g]
-            bucket, begin = np.unique(part.grams[order_g], return_index=True)
-            if len(bucket):
-                g["char"][bucket] = np.add.reduceat(d_vectors[of_word, WORD_DIM:], begin, axis=0)
+            of_word = np.repeat(np.arange(len(used)), size[used])
+            g["char"] = summed(part.grams, d_vectors[of_word, WORD_DIM:], GRAMS)
             step += 1
             lr = rate * min(1, 2 * (1 - step / total) + 0.02)
             for k, v in net.p.items():
