@@ -88,13 +88,16 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash bigint, id {kind}")
 
 
-def repeated_chunks(rows: DataFrame) -> DataFrame:
+def smallest_ids(rows: DataFrame) -> DataFrame:
+    """(hash, least, n): the smallest id and the number of rows of each chunk that has several, added up before the shuffle."""
+    return rows.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def repeated_chunks(rows: DataFrame, least: DataFrame) -> DataFrame:
     """(id, cut, own): by document the chunks that a smaller id holds too, and those for which it is the smallest.
 
-    The smallest id and the number of rows of a chunk are aggregated before the shuffle. A chunk's rows then meet its
-    smallest id, where they lie if it is a frequent one. `rows` is a written table.
+    A chunk's rows meet its smallest id, where they lie if it is a frequent one. `rows` and `least` are written tables.
     """
-    least = rows.groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = skewed_join(rows, least, "hash", "n", rows.count()).select("id", "hash", F.col("id").eqNullSafe(F.col("least")).alias("first"))
     return pairs.groupBy("id").agg(F.collect_list(F.when(~F.col("first"), F.col("hash"))).alias("cut"), F.collect_list(F.when(F.col("first"), F.col("hash"))).alias("own"))
 
@@ -142,8 +145,9 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     columns = docs.columns
     rows = written(chunk_rows(docs, id_col, text_col), "chunks")
-    repeated = written(repeated_chunks(rows), "repeated")
-    drop_table(rows)
+    least = written(smallest_ids(rows), "least")
+    repeated = written(repeated_chunks(rows, least), "repeated")
+    drop_table(rows, least)
     names = []
     for name in ("cut", "own", "id", "pairs"):
         while name in columns:
