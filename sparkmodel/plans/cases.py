@@ -119,7 +119,19 @@ def load_cases(text: str, models: Mapping[str, Model]) -> dict[str, dict[str, An
             "ctes": {n: rows_of(r, None) for n, r in (case["output"].get("ctes", {}) if isinstance(case["output"], Mapping) else {}).items()},
             "vars": values,
             "partial": case.get("partial", False),
-            "range": (case.get("start", "2000-01-01"), case.get("end", "2000-01-01")),
-            "execution": case.get("execution", "2000-01-01"),
+            "range": (str(case.get("start", "2000-01-01")), str(case.get("end", "2000-01-01"))),
+            "execution": str(case.get("execution", "2000-01-01")),
         }
     return out
+
+
+def case_text(name: str, case: Mapping[str, Any]) -> str:
+    """A case as Context.create_test makes it, in YAML, so that load_cases reads it again."""
+    def rows(given: tuple[list[tuple], Any]) -> dict[str, Any]:
+        values, schema = given
+        plain = lambda v: v if v is None or isinstance(v, (bool, int, float, str, list, dict)) else str(v)
+        return {"rows": [{f.name: plain(v) for f, v in zip(schema.fields, r, strict=True)} for r in values], "columns": {f.name: f.dataType.simpleString() for f in schema.fields}}
+
+    start, end = (str(x) for x in case["range"])
+    body = {"model": case["model"], "inputs": {n: rows(r) for n, r in case["inputs"].items()}, "output": rows(case["expected"]), "start": start, "end": end}
+    return yaml.safe_dump({name: body}, sort_keys=False, allow_unicode=True)

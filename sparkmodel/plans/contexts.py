@@ -67,6 +67,16 @@ class Ledger:
             if name != "form":
                 self.put(name, value)
 
+    def rollback(self) -> list[str]:
+        """Bring back each document as it was before its last change; returns the names of those that had one."""
+        done = []
+        for name in ("intervals", "environments", "restatements"):
+            before = self.files.numbered(name, self.files.latest(name)[0] - 1)
+            if before is not None:
+                self.put(name, before)
+                done.append(name)
+        return done
+
     @property
     def form(self) -> int:
         return max(self.MIGRATIONS, default=0) + 1

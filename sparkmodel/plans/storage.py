@@ -71,6 +71,11 @@ class Files:
         numbers = [int(n[len(NUMBERED) : -5]) for n in self.names(folder) if n.startswith(NUMBERED) and n.endswith(".json")]
         return (max(numbers), json.loads(self.read(f"{folder}/{NUMBERED}{max(numbers):012d}.json"))) if numbers else (0, None)
 
+    def numbered(self, folder: str, number: int) -> Any:
+        """One of a folder's numbered documents; None if it is not there."""
+        name = f"{folder}/{NUMBERED}{number:012d}.json"
+        return json.loads(self.read(name)) if self.exists(name) else None
+
     def add(self, folder: str, number: int, content: Any) -> bool:
         """Add a numbered document; False if the number is taken."""
         return self.create(f"{folder}/{NUMBERED}{number:012d}.json", json.dumps(content, indent=1, sort_keys=True))

@@ -270,6 +270,19 @@ def test_command_line(spark, tmp_path, capsys):
     for command in (["plan", "--now", "2024-05-03"], ["apply", "--now", "2024-05-03"], ["dag"], ["lint"], ["environments"], ["fetch", "SELECT one FROM m"], ["info"]):
         assert main([str(file), *command]) == 0
     assert "load m" in (said := capsys.readouterr().out) and "prod" in said and "1 models" in said
+    (tmp_path / "cases.yaml").write_text("one: {model: m, output: [{one: 1}]}\nbad: {model: m, output: [{one: 2}]}\n")
+    assert main([str(file), "test", str(tmp_path / "cases.yaml")]) == 1 and "2 cases, 1 differ" in capsys.readouterr().out
+    assert main([str(file), "create-test", "m"]) == 0
+    (tmp_path / "made.yaml").write_text(capsys.readouterr().out)
+    state = str(tmp_path / "state.json")
+    for command in (["test", str(tmp_path / "made.yaml")], ["state-export", state], ["diff"], ["table-name", "m"], ["state-import", state], ["migrate"], ["rollback"], ["clean"], ["destroy"]):
+        assert main([str(file), *command]) == 0
+    assert "1 cases, 0 differ" in (said := capsys.readouterr().out) and "m__" in said
+    assert main([str(file), "environments"]) == 0 and capsys.readouterr().out.strip() == ""
+    new = tmp_path / "new.py"
+    for command in (["init"], ["apply", "--now", "2024-05-03"], ["fetch", "SELECT * FROM daily"]):
+        assert main([str(new), "--root", f"file://{tmp_path}/other", *command]) == 0
+    assert "2024-05-02" in capsys.readouterr().out
 
 
 def test_a_load_touches_only_its_own_parts(spark, tmp_path):
