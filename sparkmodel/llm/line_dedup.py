@@ -4,7 +4,8 @@ A text's lines are hashed; a line longer than WRAP words is wrapped at places th
 passage put into the middle of a line falls into the same lines everywhere, and equal lines are cut alike whatever
 stands around them. A rolling hash over ROLL adjacent line hashes chooses chunk boundaries: where it is the smallest of
 REACH neighbours. Both choices depend on a few words around them only, so an insertion shifts no boundary further on,
-and chunks are never long. A chunk that also stands in a document with a smaller id is repeated; runs of repeated
+and chunks are never long. Short lines share chunks with those around them; a line of LONG_LINE words before it is
+wrapped begins and ends a chunk, so that a repeated one goes whole. A chunk that also stands in a document with a smaller id is repeated; runs of repeated
 chunks are removed once their bytes have been compared.
 """
 
@@ -25,6 +26,8 @@ from sparkmodel.llm.runtime import drop_table, ship, skewed_join, written
 WRAP, ROLL, REACH = 6, 2, 3
 #: A run of repeated chunks of fewer words stays: it is a phrase or a single line that texts share by right.
 MIN_WORDS = 16
+#: Words of a line from which on it shares no chunk with its neighbours.
+LONG_LINE = 16
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -53,14 +56,17 @@ def cut_chunks(block: ragged.Block) -> Chunks:
     line_end = ragged.winnow(spans.words(), WRAP, line_of) | np.concatenate((line_of[1:] != line_of[:-1], [True]))
     last = np.flatnonzero(line_end)
     first = np.concatenate(([0], last[:-1] + 1))
-    line_text = text[first]
+    # lines share chunks within a text, up to a long one
+    physical = line_of[first]
+    long = np.bincount(line_of - line_of[0])[physical - line_of[0]] >= LONG_LINE
+    apart = (physical[1:] != physical[:-1]) & (long[1:] | long[:-1]) | (text[first[1:]] != text[first[:-1]])
+    line_text, group = text[first], np.concatenate(([0], np.cumsum(apart)))
     line = spans.hashes(first, last)
     rolling = line.copy()
     for step in range(1, ROLL):
-        own = np.flatnonzero(line_text[step:] == line_text[:-step])
+        own = np.flatnonzero(group[step:] == group[:-step])
         rolling[own] = rolling[own] * np.uint64(ragged.BASE) + line[own + step]
-    ending = np.concatenate((line_text[1:] != line_text[:-1], [True]))
-    chunk_last = np.flatnonzero(ragged.winnow(ragged.mix(rolling), REACH, line_text) | ending)
+    chunk_last = np.flatnonzero(ragged.winnow(ragged.mix(rolling), REACH, group) | np.concatenate((apart, [True])))
     chunk_first = np.concatenate(([0], chunk_last[:-1] + 1))
     a, b = starts[first[chunk_first]], ends[last[chunk_last]]
     text = line_text[chunk_first]

@@ -295,14 +295,22 @@ def slow_chunks(t):
     for e in sorted(ends):
         lines.append((first, e))
         first = e + 1
-    hashes = [digest(spans[a][0], spans[b][1]) for a, b in lines]
-    rolling = [(h * ragged.BASE + n) % (1 << 64) for h, n in zip(hashes, hashes[1:], strict=False)] + hashes[-1:]
-    cuts = picked([int(ragged.mix(np.array([r], np.uint64))[0]) for r in rolling], line_dedup.REACH) | {len(lines) - 1}
-    chunks, first = [], 0
-    for c in sorted(cuts):
-        if lines:
-            chunks.append([spans[i] for line in lines[first : c + 1] for i in range(line[0], line[1] + 1)])
-        first = c + 1
+    groups, first, before_long = [], 0, True
+    for e in breaks:
+        own = [line for line in lines if first <= line[0] <= e]
+        long = e - first + 1 >= line_dedup.LONG_LINE
+        if long or before_long:
+            groups.append([])
+        groups[-1] += own
+        first, before_long = e + 1, long
+    chunks = []
+    for group in groups:
+        hashes = [digest(spans[a][0], spans[b][1]) for a, b in group]
+        rolling = [(h * ragged.BASE + n) % (1 << 64) for h, n in zip(hashes, hashes[1:], strict=False)] + hashes[-1:]
+        cuts, first = picked([int(ragged.mix(np.array([r], np.uint64))[0]) for r in rolling], line_dedup.REACH) | {len(group) - 1}, 0
+        for c in sorted(cuts):
+            chunks.append([spans[i] for line in group[first : c + 1] for i in range(line[0], line[1] + 1)])
+            first = c + 1
     return chunks
 
 
@@ -366,6 +374,18 @@ def test_long_passages_go_wherever_they_stand(spark):
         assert not any(" ".join(words[k : k + 51]) in out[i]["text"] for k in range(5)) and out[i]["removed_words"] >= line_dedup.MIN_WORDS
 
 
+def test_a_passage_that_stands_as_lines_goes_whole():
+    for seed in range(100):
+        rng = random.Random(seed)
+        words = lambda kind, n: " ".join(f"{kind}{rng.randrange(10**7)}" for _ in range(n))  # noqa: B023, E731
+        sizes = rng.choice([[51], [20, 31], [16, 16, 19], [80]])
+        passage = "\n".join(words("q", n) for n in sizes)
+        both = ["\n".join([words("u", rng.randint(1, 60)), passage, words("v", rng.randint(1, 60))]) for _ in range(2)]
+        chunks = line_dedup.cut_chunks(next(ragged.blocks(pa.array(both))))
+        repeated = (chunks.text == 1) & np.isin(chunks.hash, chunks.hash[chunks.text == 0])
+        assert chunks.words[line_dedup.removable(chunks, repeated, line_dedup.MIN_WORDS)].sum() == sum(sizes)
+
+
 def test_most_of_a_passage_of_51_words_goes_whatever_surrounds_it():
     shares = []
     for seed in range(400):
