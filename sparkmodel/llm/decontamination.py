@@ -302,7 +302,8 @@ def judge(columns: list[pa.Array], paths: list[str], window: int, share: float)
             best, going_on = shard.search(queries, going_on)
             for row, item, start, words in zip(best.row.tolist(), best.item.tolist(), best.first.tolist(), (best.last - best.first + window).tolist(), strict=True):
                 for name in queries.names[queries.names_from[item] : queries.names_from[item + 1]].tolist():
-                    if found[row].get(name, (0, 0))[1] < words:
+                    present = found[row].get(name)
+                    if present is None or (words, -start) > (present[1], -present[0]):
                         found[row][name] = (start, words)
     n_words, n_hit = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     tail = np.zeros(0, bool)
@@ -392,3 +393,31 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             yield batch.filter(pa.array(~got["contaminated"]))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def contamination_sql(window: int = WINDOW) -> str:
+    """The rows of find_contamination as DuckDB SQL over documents and benchmark, matches as item:start:words, by item."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {words} AS w FROM benchmark),
+item_places AS (
+  SELECT item, least(len(w), {window}) AS size, unnest(range(greatest(len(w) - {window} + 1, 1))) AS pos, w FROM items WHERE len(w) > 0),
+item_windows AS (
+  SELECT item, md5(array_to_string(w, ' ')) AS text, size, array_to_string(w[pos + 1 : pos + size], ' ') AS win, min(pos) AS pos
+  FROM item_places GROUP BY 1, 2, 3, 4),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_places AS (SELECT r, w, size, unnest(range(len(w) - size + 1)) AS pos FROM docs, sizes WHERE len(w) >= size),
+doc_windows AS (SELECT r, size, pos, array_to_string(w[pos + 1 : pos + size], ' ') AS win FROM doc_places),
+found AS (SELECT d.r, d.size, d.pos, i.item, i.text, i.pos AS item_pos FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.win = i.win),
+covered AS (SELECT r, count(DISTINCT word) AS n_hit FROM (SELECT DISTINCT r, unnest(range(pos, pos + size)) AS word FROM (SELECT DISTINCT r, pos, size FROM found)) GROUP BY r),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY r, item, text, size, pos - item_pos ORDER BY pos) AS run FROM found),
+long AS (SELECT r, item, min(pos) AS first, count(*) + max(size) - 1 AS n FROM runs GROUP BY r, item, text, size, pos - item_pos, run),
+best AS (SELECT r, item, first, n FROM long QUALIFY row_number() OVER (PARTITION BY r, item ORDER BY n DESC, first) = 1),
+listed AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names, string_agg(item || ':' || first || ':' || n, ',' ORDER BY item) AS matches
+  FROM best GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(matches, '') AS matches
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""

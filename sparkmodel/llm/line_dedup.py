@@ -144,7 +144,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id all keep it. A null id is larger than any other. What is removed goes up to the next word that stays;
     all else stays byte for byte. Null texts stay null, empty ones empty; a text of which nothing is left is an empty
     text, so no row is dropped. Columns are those of docs, with any extra ones; an empty table gives an empty result.
-    A very long text is cut as a whole; a worker needs some 20 bytes for each of its bytes.
+    A very long text is cut as a whole; a worker needs some 20 bytes for each of its bytes. The chunks of rows that share
+    an id, or have none, are one list.
 
     The texts are cut, and beside them the bytes of all chunks that were removed or are the kept first copy are
     written. If these show chunks of one hash and different bytes, the texts are cut again without removing those.

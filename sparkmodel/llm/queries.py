@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkmodel.llm import toxicity, warc
-from sparkmodel.llm.decontamination import find_contamination
+from sparkmodel.llm.decontamination import contamination_sql, find_contamination
 from sparkmodel.llm.lattice import embedding_groups
 from sparkmodel.llm.line_dedup import remove_repeated_lines
 from sparkmodel.llm.mixing import mix_sources, mix_sql
@@ -44,8 +45,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of the benchmark stands verbatim in each document."""
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """What of the benchmark stands verbatim in each document; the longest matches as item:start:words, by item."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    match = F.transform("matches", lambda m: F.concat_ws(":", m["item_id"], m["start"].cast("string"), m["words"].cast("string")))
+    return found.withColumn("matches", F.array_join(match, ","))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.SQL,
         "op2_mixing": mix_sql(),
+        "op5_decontamination": contamination_sql(),
     }
