@@ -13,8 +13,9 @@ from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The form of a query in SQL, and of what it selects.
@@ -36,19 +37,71 @@ class Reference:
 
 @dataclass(frozen=True)
 class Metric:
-    """Either an aggregate of a table (columns named table.column in expr) or a formula over other metrics."""
+    """Either an aggregate of a table or a formula over other metrics; `needs` names columns of other tables it refers to."""
 
     name: str
     table: str | None = None
     aggregate: Callable[[], Column] | None = None
     formula: Callable[[dict[str, Column]], Column] | None = None
     inputs: Sequence[str] = ()
+    needs: Sequence[str] = ()
 
     def __post_init__(self) -> None:
         if (self.aggregate is None) == (self.formula is None) or (self.aggregate is not None) != (self.table is not None):
             raise ValueError(f"{self.name}: an aggregate needs a table, a formula needs metrics")
 
 
+#: Functions whose first argument is what a metric measures.
+AGGREGATES = ("sum", "count", "avg", "mean", "min", "max", "stddev", "stddev_samp", "stddev_pop", "variance", "var_samp", "var_pop", "median", "any_value", "approx_count_distinct")
+
+
+def tables_of(spark: SparkSession, text: str) -> tuple[str, dict[str, list[str]]]:
+    """(the table that an aggregate in SQL measures, columns by table): columns are written table.column.
+
+    The measured table is that of the first column that an aggregate takes, directly, within arithmetic, or as a result
+    of CASE or IF; a column of a condition measures nothing.
+    """
+    measured: list[str] = []
+    columns: dict[str, list[str]] = {}
+
+    def walk(node: Any, measures: bool) -> None:
+        kind = node.getClass().getSimpleName()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if kind == "UnresolvedAttribute":
+            parts = [node.nameParts().apply(i) for i in range(node.nameParts().size())]
+            if len(parts) > 1:
+                columns.setdefault(".".join(parts[:-1]), []).append(parts[-1])
+                if measures:
+                    measured.append(".".join(parts[:-1]))
+            return
+        name = node.nameParts().last().lower() if kind == "UnresolvedFunction" else ""
+        for i, child in enumerate(children):
+            if kind == "CaseWhen":
+                # conditions and results take turns, the last may be the result of ELSE
+                result = i % 2 == 1 or i == len(children) - 1 and len(children) % 2 == 1
+                walk(child, measures and result)
+            elif name == "if":
+                walk(child, measures and i > 0)
+            elif name:
+                walk(child, i == 0 and name in AGGREGATES)
+            else:
+                walk(child, measures and kind in ("Add", "Subtract", "Multiply", "Divide", "UnaryMinus", "Cast", "Remainder"))
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parseExpression(text), False)
+    if not measured:
+        raise ValueError(f"no table is measured by {text}")
+    return measured[0], columns
+
+
+def metric_from_sql(spark: SparkSession, name: str, text: str) -> Metric:
+    """A metric written as an aggregate in SQL: the table that it measures, and what else it refers to, follow from it."""
+    table, columns = tables_of(spark, text)
+    plain = text
+    for t in sorted(columns, key=len, reverse=True):
+        plain = re.sub(rf"\b{re.escape(t)}\.(?=\w)", "", plain)
+    return Metric(name, table, lambda: F.expr(plain), needs=[c for t, own in columns.items() if t != table for c in own])
+
+
 @dataclass
 class SemanticModel:
     tables: dict[str, DataFrame]
@@ -132,7 +185,7 @@ class SemanticModel:
     def aggregated(self, table: str, metrics: Sequence[Metric], group_by: Sequence[str], where: str | None) -> DataFrame:
         """One row per grain of one measured table."""
         rows, joined = self.tables[table], {table}
-        for column in group_by:
+        for column in dict.fromkeys([*group_by, *(c for m in metrics for c in m.needs)]):
             for own, other in self.path(table, column):
                 if other.table in joined:
                     continue

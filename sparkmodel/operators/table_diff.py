@@ -47,13 +47,14 @@ class RowDiff:
     """A full join of two tables on their grain, and what it shows.
 
     A single key column joins by '=', so null keys never meet. Several are joined by their texts with nulls as empty
-    ones, so they can. Columns of the same name and type are compared: nulls equal each other, fractional numbers are
-    compared at `decimals` places, nested values as JSON.
+    ones, so they can. `on` is another condition to join by, over s.column and t.column; keys then only name the rows.
+    Columns of the same name and type are compared: nulls equal each other, fractional numbers are compared at
+    `decimals` places, nested values as JSON.
     """
 
-    def __init__(self, source: DataFrame, target: DataFrame, keys: Sequence[str] | Sequence[tuple[str, str]], decimals: int = 3, where: str | None = None):
+    def __init__(self, source: DataFrame, target: DataFrame, keys: Sequence[str] | Sequence[tuple[str, str]], decimals: int = 3, where: str | None = None, on: str | None = None):
         pairs = [(k, k) if isinstance(k, str) else k for k in keys]
-        self.keys, self.decimals = pairs, decimals
+        self.keys, self.decimals, self.on = pairs, decimals, on
         self.source, self.target = ((df.where(where) if where else df) for df in (source, target))
         types = {f.name: f.dataType for f in self.target.schema.fields}
         paired = {a for a, _ in pairs}
@@ -66,7 +67,11 @@ class RowDiff:
         many = len(self.keys) > 1
         left = self.source.select(*[F.col(f"`{c}`").alias(f"s__{c}") for c in self.source.columns], (row_key_text(self.source, left_keys) if many else F.col(f"`{left_keys[0]}`")).alias("s_key"), F.lit(1).alias("s_exists"))
         right = self.target.select(*[F.col(f"`{c}`").alias(f"t__{c}") for c in self.target.columns], (row_key_text(self.target, right_keys) if many else F.col(f"`{right_keys[0]}`")).alias("t_key"), F.lit(1).alias("t_exists"))
-        rows = left.join(right, left["s_key"] == right["t_key"], "full_outer")
+        if self.on is None:
+            rows = left.join(right, left["s_key"] == right["t_key"], "full_outer")
+        else:
+            whole = lambda df, side: F.struct(*[F.col(f"{side}__{c}").alias(c) for c in df.columns]).alias(side)
+            rows = left.select("*", whole(self.source, "s")).join(right.select("*", whole(self.target, "t")), F.expr(self.on), "full_outer").drop("s", "t")
         rows = rows.withColumns({"s_exists": F.coalesce("s_exists", F.lit(0)), "t_exists": F.coalesce("t_exists", F.lit(0))})
         no_left, no_right = (reduce(operator.or_, [F.col(f"{side}__{c}").isNull() for c in names]) for side, names in (("s", left_keys), ("t", right_keys)))
         rows = rows.withColumns({"row_joined": (F.col("s_exists") * F.col("t_exists")), "null_grain": (no_left & no_right).cast("int")})
@@ -89,11 +94,19 @@ class RowDiff:
         Rows are added up by key first, so that different keys are counted without a copy of the rows for each side.
         """
         names = {"s_count": "s_exists", "t_count": "t_exists", "join_count": "row_joined", "null_grain_count": "null_grain", "full_match_count": "row_full_match"}
+        if self.on is not None:
+            # the two keys of a pair may differ, so they are counted side by side
+            sums = self.joined.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(n) for n, c in names.items()], F.countDistinct("s_key").alias("distinct_count_s"), F.countDistinct("t_key").alias("distinct_count_t"))
+            return self.with_shares(sums)
         by_key = self.joined.groupBy(F.coalesce("s_key", "t_key").alias("key")).agg(
             *[F.sum(c).alias(n) for n, c in names.items()],
             *[F.max(F.col(f"{side}_key").isNotNull().cast("int")).alias(f"distinct_count_{side}") for side in "st"],
         )
         sums = by_key.agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in (*names, "distinct_count_s", "distinct_count_t")])
+        return self.with_shares(sums)
+
+    def with_shares(self, sums: DataFrame) -> DataFrame:
+        """Counts with what follows from them."""
         sums = sums.withColumns({"s_only_count": F.col("s_count") - F.col("join_count"), "t_only_count": F.col("t_count") - F.col("join_count"), "partial_match_count": F.col("join_count") - F.col("full_match_count")})
         total = F.nullif(F.col("s_count") + F.col("t_count"), F.lit(0))
 

@@ -25,6 +25,7 @@ from sparkmodel.plans.cases import frozen_times, only_cte
 from sparkmodel.plans.graphs import Graph, Selector, run_graph
 from sparkmodel.plans.lineage import column_lineage
 from sparkmodel.plans.models import Category, Fingerprint, Kind, Model, ModelChange, categorized, fingerprints
+from sparkmodel.plans.naming import Convention, physical_name
 from sparkmodel.plans.plan_changes import only_adds_columns
 from sparkmodel.plans.storage import Files, TableStore
 from sparkmodel.plans.times import Cron, TimeLike, exclusive_end, from_millis, literal, millis, to_datetime, variables
@@ -146,8 +147,8 @@ class Plan:
 class Context:
     """A project over one session and one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str, models: Iterable[Model] = (), settings: Mapping[str, Any] | None = None, threads: int = 4, before_all: Iterable[str] = (), after_all: Iterable[str] = ()):
-        self.spark, self.threads = spark, threads
+    def __init__(self, spark: SparkSession, root: str, models: Iterable[Model] = (), settings: Mapping[str, Any] | None = None, threads: int = 4, before_all: Iterable[str] = (), after_all: Iterable[str] = (), convention: Convention = Convention.SCHEMA_AND_TABLE):
+        self.spark, self.threads, self.convention = spark, threads, convention
         self.before_all, self.after_all = list(before_all), list(after_all)
         self.models: dict[str, Model] = {m.name: m for m in models}
         self.settings = {k.lower(): v for k, v in (settings or {}).items()}
@@ -219,8 +220,9 @@ class Context:
         out = {}
         for n, m in self.models.items():
             if m.stored:
-                fresh = f"{n.replace('.', '__')}__{prints[n].version}"
-                out[n] = f"{fresh}__{environment}" if environment != forward and not may[n] else shown[n] if n in shown and n not in anew else fresh
+                preview = environment if environment != forward and not may[n] else None
+                fresh = physical_name(n, prints[n].version, self.convention, preview)
+                out[n] = fresh if preview or n not in shown or n in anew else shown[n]
         return out
 
     def start_of(self, name: str, now: datetime, seen: tuple[str, ...] = ()) -> int:

@@ -17,7 +17,7 @@ from sparkmodel.functions import frames as R
 from sparkmodel.operators import joins as J
 from sparkmodel.operators import writers as W
 from sparkmodel.operators.audits import Audit, failures
-from sparkmodel.operators.metrics import SemanticModel
+from sparkmodel.operators.metrics import SemanticModel, metric_from_sql
 from sparkmodel.plans import evolution as E
 from sparkmodel.plans import intervals as iv
 from sparkmodel.plans import times as t
@@ -26,6 +26,7 @@ from sparkmodel.plans.contexts import Context, RunContext, migrated
 from sparkmodel.plans.graphs import Graph, Selector, run_graph
 from sparkmodel.plans.lineage import column_lineage, inherited_descriptions
 from sparkmodel.plans.models import Kind, Model, blueprints, macro, resolve_template, with_changes
+from sparkmodel.plans.naming import Convention, Target, physical_name, view_name
 from sparkmodel.plans.signals import fresh, until
 from sparkmodel.plans.storage import TableStore
 from sparkmodel.queries import ORDER_ROWS, QUERIES, order_rows, query, semantic
@@ -195,13 +196,13 @@ def seed_coercion(spark: SparkSession) -> DataFrame:
     return S.seed(spark, folder, "id int, day date, flag boolean, number double, note string", S.SeedFormat(na_values={"note": ["none"], "day": ["NULL"], "number": ["nan"], "flag": [""]}, keep_default_na=False))
 
 
-@query("""SELECT * FROM (VALUES ('r_regionkey'), ('r_name')) v("column")""")
-def external_schema_discovery(spark: SparkSession, region: DataFrame) -> DataFrame:
-    """The columns of a table that no model makes."""
-    region.createOrReplaceTempView("discovered_region")
-    found = S.external_schemas(spark, ["discovered_region"])["discovered_region"]
-    assert all(found[c] == k.dataType.simpleString() for c, k in zip(region.columns, region.schema.fields, strict=True))
-    return values(spark, "column string", [(c,) for c in found])
+@query("""SELECT * FROM (VALUES ('discovered_one', 'k', 'bigint'), ('discovered_one', 'parts', 'array<struct<x:int>>'), ('discovered_two', 'day', 'date'), ('discovered_two', 'price', 'decimal(10,2)')) v("table", "column", type)""")
+def external_schema_discovery(spark: SparkSession) -> DataFrame:
+    """The columns of tables that no model makes, declared in YAML and read again."""
+    spark.sql("SELECT 1L AS k, array(named_struct('x', 1)) AS parts").createOrReplaceTempView("discovered_one")
+    spark.sql("SELECT current_date() AS day, CAST(1 AS DECIMAL(10,2)) AS price").createOrReplaceTempView("discovered_two")
+    found = S.read_external_yaml(S.external_yaml(S.external_schemas(spark, ["discovered_one", "discovered_two"])))
+    return values(spark, "table string, column string, type string", [(t, f.name, f.dataType.simpleString()) for t, kind in found.items() for f in kind.fields])
 
 
 @query("SELECT 'listed_view' AS name, 'temporary' AS kind")
@@ -974,6 +975,36 @@ def metric_sql(spark: SparkSession, orders: DataFrame, lineitem: DataFrame, cust
     return semantic(orders, lineitem, customer, nation).sql("SELECT c_mktsegment, METRIC(n_orders) AS n, METRIC(per_order) AS mean FROM __semantic.__table WHERE o_orderstatus = 'O' GROUP BY c_mktsegment ORDER BY n DESC LIMIT 3")
 
 
+@query("""SELECT o_orderpriority, CAST(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN CAST(o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE) AS building, count(DISTINCT o_custkey) AS buyers FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def metric_inference(spark: SparkSession, orders: DataFrame, lineitem: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
+    """Metrics written in SQL: what they measure is the table of their results, not that of their conditions."""
+    model = semantic(orders, lineitem, customer, nation).add(
+        metric_from_sql(spark, "building", "CAST(sum(CASE WHEN customer.c_mktsegment = 'BUILDING' THEN CAST(orders.o_totalprice AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE)"),
+        metric_from_sql(spark, "buyers", "count(DISTINCT orders.o_custkey)"),
+    )
+    assert model.metrics["building"].table == "orders"
+    return model.query(["building", "buyers"], ["o_orderpriority"])
+
+
+@query("""SELECT * FROM (VALUES ('schema_and_table', 'sch__tab_1__v7', 'sch__tab_1__v7__dev'), ('table_only', 'tab_1__v7', 'tab_1__v7__dev'), ('hash', 'md5__' || md5('sch__tab_1__v7'), 'md5__' || md5('sch__tab_1__v7__dev'))) v(convention, "table", preview)""")
+def physical_names(spark: SparkSession) -> DataFrame:
+    """Names of the tables of a version of a model, by convention."""
+    return values(spark, "convention string, table string, preview string", [(c.value, physical_name("cat.sch.tab-1", "v7", c), physical_name("cat.sch.tab-1", "v7", c, "dev")) for c in Convention])
+
+
+@query("""SELECT * FROM (VALUES ('schema', 'cat.sch.tab', 'cat.sch__dev.tab', 'default__dev.tab'), ('table', 'cat.sch.tab', 'cat.sch.tab__dev', 'default.tab__dev'), ('catalog', 'cat.sch.tab', 'cat__dev.sch.tab', 'refused')) v(target, production, development, short)""")
+def view_names(spark: SparkSession) -> DataFrame:
+    """Names under which environments show a model."""
+    rows = []
+    for target in Target:
+        try:
+            short = view_name("tab", "dev", target)
+        except ValueError:
+            short = "refused"
+        rows.append((target.value, view_name("cat.sch.tab", "prod", target), view_name("cat.sch.tab", "dev", target), short))
+    return values(spark, "target string, production string, development string, short string", rows)
+
+
 @query("""SELECT * FROM (VALUES ('n_name', 'nation'), ('c_mktsegment', 'customer'), ('o_orderstatus', 'orders'), ('l_quantity', '')) v("column", tables)""")
 def tables_for_column(spark: SparkSession, orders: DataFrame, lineitem: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFrame:
     """The tables that own a column and can be joined to the orders."""

@@ -686,6 +686,14 @@ def row_diff_samples(spark: SparkSession, orders: DataFrame) -> DataFrame:
     return D.RowDiff(*edited(orders), ["o_orderkey"]).samples().select("side", "key", "s__o_orderstatus", "t__o_orderstatus")
 
 
+@query(f"""WITH j AS (SELECT s.o_orderkey AS sk, t.o_orderkey AS tk, s.o_totalprice = t.o_totalprice AS same FROM ({LEFT}) s FULL JOIN ({RIGHT}) t ON s.o_orderkey = t.o_orderkey AND s.day = t.day AND t.o_custkey % 2 = 0)
+SELECT count(sk) AS s_count, count(tk) AS t_count, count(CASE WHEN sk = tk THEN 1 END) AS join_count, count(CASE WHEN sk = tk AND same THEN 1 END) AS full_match_count, count(DISTINCT sk) AS distinct_count_s FROM j""")
+def row_diff_condition(spark: SparkSession, orders: DataFrame) -> DataFrame:
+    """Tables joined by a condition other than equal keys."""
+    counts = D.RowDiff(*edited(orders), ["o_orderkey"], on="s.o_orderkey = t.o_orderkey AND s.day = t.day AND t.o_custkey % 2 = 0").summary()
+    return counts.select("s_count", "t_count", "join_count", "full_match_count", "distinct_count_s")
+
+
 @query("SELECT 7 AS s_count, 10 AS t_count, 7 AS join_count, 4 AS null_grain_count, 7 AS full_match_count, 3 AS t_only_count, 7 AS distinct_count_s, 10 AS distinct_count_t")
 def row_diff_null_keys(spark: SparkSession) -> DataFrame:
     """Composite keys with nulls: their texts meet."""

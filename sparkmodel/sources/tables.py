@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +88,20 @@ def catalog_objects(spark: SparkSession, database: str | None = None, names: Ite
     return [{"name": t.name, "database": ".".join(t.namespace or []), "kind": t.tableType.lower()} for t in spark.catalog.listTables(database) if wanted is None or t.name in wanted]
 
 
-def external_schemas(spark: SparkSession, tables: Iterable[str]) -> dict[str, dict[str, str]]:
-    """Columns and types of tables that no model makes, for declaring them."""
-    return {t: {f.name: f.dataType.simpleString() for f in spark.table(t).schema.fields} for t in tables}
+def external_schemas(spark: SparkSession, tables: Iterable[str], threads: int = 8) -> dict[str, dict[str, str]]:
+    """Columns and types of tables that no model makes, for declaring them; several are looked up at a time."""
+    def columns(table: str) -> dict[str, str]:
+        return {f.name: f.dataType.simpleString() for f in spark.table(table).schema.fields}
+
+    names = list(tables)
+    with ThreadPoolExecutor(threads) as pool:
+        return dict(zip(names, pool.map(columns, names), strict=True))
+
+
+def external_yaml(schemas: Mapping[str, Mapping[str, str]]) -> str:
+    """Schemas as a list of declarations in YAML, and back with read_external_yaml."""
+    return yaml.safe_dump([{"name": t, "columns": dict(c)} for t, c in schemas.items()], sort_keys=False, allow_unicode=True)
+
+
+def read_external_yaml(text: str) -> dict[str, T.StructType]:
+    return {x["name"]: T.StructType([T.StructField(n, T.StructType.fromDDL(f"c {k}")["c"].dataType) for n, k in x["columns"].items()]) for x in yaml.safe_load(text) or []}
