@@ -271,6 +271,29 @@ def test_every_string_has_a_counter_of_its_own(spark):
     assert [got[i] for i in range(len(urls))] == pytest.approx(expected, abs=1e-9)
 
 
+def slow_threshold(held):
+    """The place between the steps of (score, blocked) with the least sum of both error rates, of equals the nearest to 0."""
+    good, bad = [s for s, b in held if not b], [s for s, b in held if b]
+    half = round(url_filter.RANGE / url_filter.STEP)
+    step = lambda s: math.floor(max(-url_filter.RANGE, min(url_filter.RANGE, s)) / url_filter.STEP)
+    error = lambda k: sum(step(s) < k for s in good) / len(good) + sum(step(s) >= k for s in bad) / len(bad)
+    return min(range(-half, half + 2), key=lambda k: (round(error(k), 12), abs(k))) * url_filter.STEP
+
+
+def test_verdicts_of_the_model_follow_from_scores(spark):
+    rng = random.Random(7)
+    letters = {"a.net/de": "abcdeeee", "b.com/en": "abcdxxxx", "c.info": "abcdexab"}
+    make = lambda host: f"http://{host}/" + "".join(rng.choice(letters[host]) for _ in range(rng.randint(0, 12)))
+    urls = [make(rng.choice(list(letters))) for _ in range(600)]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()}
+    rules = [slow_rule(*slow_parts(u))[1] for u in urls]
+    scores = slow_scores(list(zip(urls, rules, strict=True)))
+    threshold = slow_threshold([(s, r == "block") for u, r, s in zip(urls, rules, scores, strict=True) if r and zlib.crc32(u.encode()) % url_filter.HELD == 0])
+    clear = [i for i, s in enumerate(scores) if abs(s - threshold) > 1e-9]
+    assert len(clear) > 590 and {got[i]["verdict"] for i in clear if rules[i] is None} == {"allow", "block"}
+    assert all(got[i]["verdict"] == (rules[i] or ("allow" if scores[i] >= threshold else "block")) for i in clear)
+
+
 def test_calibration():
     assert url_filter.calibrated([]) == 0.0 and url_filter.calibrated([(0, 5, 3)]) == 0.0
     assert abs(url_filter.calibrated([(0, 40, 10), (1, -40, 10)])) <= 40 * url_filter.STEP
