@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
-from sparkmodel.llm.runtime import get_bytes, new_folder, put_bytes, ship
+from sparkmodel.llm.runtime import get_bytes, given_back, new_folder, put_bytes, ship
 
 WINDOW = 13
 #: Bytes of benchmark text in one block of queries. More text makes more blocks, each searched for in every shard.
@@ -376,7 +376,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             columns = [pa.array(v, {"matches": match, "items_sha256": pa.string()}.get(k)) for k, v in got.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, *got])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
+    return docs.select(id_col, text_col).mapInArrow(given_back(run), f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: float = 0.05, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -392,7 +392,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         for batch, got in judged(batches, at, paths, window, share):
             yield batch.filter(pa.array(~got["contaminated"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)
 
 
 def contamination_sql(window: int = WINDOW) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
-from sparkmodel.llm.runtime import drop_table, ship, skewed_join, written
+from sparkmodel.llm.runtime import drop_table, given_back, ship, skewed_join, written
 
 WRAP, ROLL, REACH = 6, 2, 3
 #: A run of repeated chunks of fewer words stays: it is a phrase or a single line that texts share by right.
@@ -91,7 +91,7 @@ def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 new = ~chunks.again
                 yield pa.RecordBatch.from_arrays([pa.array(chunks.hash[new]), batch.column(0).take(pa.array(chunks.text[new] + block.first))], names=["hash", "id"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash bigint, id {kind}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(given_back(run), f"hash bigint, id {kind}")
 
 
 def smallest_ids(rows: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def shorten(beside: DataFrame, text_at: int, extra: list[str], pairs: str, min_w
                 yield pa.RecordBatch.from_arrays([*out, *[pa.array(c) for c in counts][: len(extra)], first], names=[*columns, *extra, pairs])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} bigint" for n in extra])
-    return beside.mapInArrow(run, f"{schema}, `{pairs}` array<struct<hash: bigint, bytes: binary>>")
+    return beside.mapInArrow(given_back(run), f"{schema}, `{pairs}` array<struct<hash: bigint, bytes: binary>>")
 
 
 def shortened_texts(block: ragged.Block, raw: bytes, chunks: Chunks, gone: np.ndarray) -> tuple[np.ndarray, list[str]]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
 from sparkmodel.llm.components import Forest, components
-from sparkmodel.llm.runtime import drop_table, lookup_join, ship, skewed_join, written
+from sparkmodel.llm.runtime import drop_table, given_back, lookup_join, ship, skewed_join, written
 
 #: Rows of a tile; pairs of tiles that are compared at once; fingerprints of one bit choice beyond GROUP are dealt over
 #: several tasks by population count.
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(column_fingerprints(batch.column(1), shingle))], names=[id_col, "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(id_col, text_col).mapInArrow(given_back(run), f"`{id_col}` {kind}, fp bigint")
 
 
 def block_masks(rows: int, radius: int) -> list[int]:
@@ -190,7 +190,7 @@ def fingerprint_links(distinct: DataFrame, radius: int, group: int = GROUP) -> D
         mine, theirs = F.struct("ones", "own"), F.struct((F.col("ones") + F.col("d")).alias("ones"), F.col("other").alias("own"))
         dealt = dealt.select(F.xxhash64("k", F.least(mine, theirs), F.greatest(mine, theirs)).alias("k"), "fp")
         rows = plain.union(dealt)
-    return rows.select("k", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(lambda b: group_links(b, radius), "a bigint, b bigint")
+    return rows.select("k", "fp").repartition("k").sortWithinPartitions("k").mapInArrow(given_back(lambda b: group_links(b, radius)), "a bigint, b bigint")
 
 
 def fingerprint_components(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
@@ -259,4 +259,4 @@ def fingerprints_beside(docs: DataFrame, id_col: str, text_col: str, shingle: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column_fingerprints(batch.column(at), shingle))], names=[*batch.schema.names, tag])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{tag}` bigint"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(given_back(run), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmodel.llm import ragged
-from sparkmodel.llm.runtime import ship
+from sparkmodel.llm.runtime import given_back, ship
 
 WINDOW, STRIDE = 24, 12
 #: Training lays its windows farther apart: with them every 12 words the network finds fewer of the held-out toxic texts.
@@ -334,7 +334,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 yield pa.RecordBatch.from_arrays([row, pa.array([int(y)] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=["id", "y", "piece", "text"])
 
     ship(docs.sparkSession)
-    got = found.mapInArrow(draw, f"id {found.schema['__id'].dataType.simpleString()}, y int, piece int, text string").collect()
+    got = found.mapInArrow(given_back(draw), f"id {found.schema['__id'].dataType.simpleString()}, y int, piece int, text string").collect()
     got.sort(key=lambda r: (r["id"], r["piece"]))
     place = {x: i for i, x in enumerate(dict.fromkeys(r["id"] for r in got))}
     return [r["text"] for r in got], [r["y"] for r in got if r["piece"] == 0], [place[r["id"]] for r in got]
@@ -394,7 +394,7 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
             held = pa.array([in_fold(i, folds) for i in batch.column(0).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), held, pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, text_col).mapInArrow(given_back(run), f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -406,4 +406,4 @@ def drop_toxic(docs: DataFrame, net: Network, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)
