@@ -3,7 +3,9 @@ schedules, schema changes, lineage, selection. Twins are SQL over the same table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import warnings
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from typing import Any
 
@@ -21,6 +23,7 @@ from sparkmodel.operators.metrics import SemanticModel, metric_from_sql
 from sparkmodel.plans import evolution as E
 from sparkmodel.plans import intervals as iv
 from sparkmodel.plans import times as t
+from sparkmodel.plans.buckets import history_load, merge_load
 from sparkmodel.plans.cases import frozen_times, load_cases
 from sparkmodel.plans.contexts import Context, RunContext, migrated
 from sparkmodel.plans.graphs import Graph, Selector, run_graph
@@ -29,7 +32,7 @@ from sparkmodel.plans.models import Kind, Model, blueprints, macro, resolve_temp
 from sparkmodel.plans.naming import Convention, Target, physical_name, view_name
 from sparkmodel.plans.signals import fresh, until
 from sparkmodel.plans.storage import TableStore
-from sparkmodel.queries import ORDER_ROWS, QUERIES, order_rows, query, semantic
+from sparkmodel.queries import BY_COLUMN, BY_TIME, C1, NOW1, NOW2, NOW3, ORDER_ROWS, QUERIES, SECOND, SQL, T2, THIRD, column_step, order_rows, query, semantic, snapshots, statuses, time_step
 from sparkmodel.session import scratch_folder
 from sparkmodel.sources import tables as S
 from sparkmodel.streaming.loads import merge_stream, windowed
@@ -225,13 +228,11 @@ def applied(spark: SparkSession, name: str, *models: Model, now: str = "2024-05-
     return ctx.table(name)
 
 
-def registered(sql: str):  # noqa: ANN201
+def registered(sql: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     """query() for functions that need the folder of the tables: (spark, sf_dir)."""
-    def register(make):  # noqa: ANN001, ANN202
-        QUERIES[make.__name__] = make
-        from sparkmodel.queries import SQL
 
-        SQL[make.__name__] = sql
+    def register(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[make.__name__], SQL[make.__name__] = make, sql
         return make
 
     return register
@@ -360,8 +361,6 @@ MERGE_ROWS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM ord
 FROM (SELECT * FROM ({MERGE_ROWS}) WHERE o_orderkey % 3 <> 0) x FULL JOIN (SELECT *, 'X' AS st FROM ({MERGE_ROWS}) WHERE o_custkey % 7 = 0) s ON x.o_orderkey = s.o_orderkey""")
 def bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merge into a table that is dealt into buckets of keys; a repeated load changes nothing."""
-    from sparkmodel.plans.buckets import merge_load
-
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     store = store_of(spark)
     merge_load(store, "t", rows.where("o_orderkey % 3 <> 0"), ["o_orderkey"])
@@ -370,32 +369,22 @@ def bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("t")
 
 
-def _bucketed_history() -> None:
-    from sparkmodel.queries import BY_COLUMN, BY_TIME, C1, NOW2, NOW3, SECOND, SQL, T2, THIRD, _column_step, _time_step, snapshots, statuses
-
-    def by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Three loads of a history by time into buckets of keys."""
-        from sparkmodel.plans.buckets import history_load
-
-        store, at = store_of(spark), (datetime(2022, 3, 1), NOW2, NOW3)
-        for rows, now in zip(snapshots(spark.read.parquet(f"{sf_dir}/customer.parquet")), at, strict=True):
-            history_load(store, "h", rows, BY_TIME, now)
-        return store.read("h")
-
-    def by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Two loads of a history by column into buckets of keys."""
-        from sparkmodel.plans.buckets import history_load
-
-        store = store_of(spark)
-        for rows, now in zip(statuses(spark.read.parquet(f"{sf_dir}/customer.parquet"))[:2], (datetime(2022, 3, 1), NOW2), strict=True):
-            history_load(store, "h", rows, BY_COLUMN, now)
-        return store.read("h")
-
-    QUERIES["bucketed_history_by_time"], SQL["bucketed_history_by_time"] = by_time, _time_step(T2, THIRD, NOW3)
-    QUERIES["bucketed_history_by_column"], SQL["bucketed_history_by_column"] = by_column, _column_step(C1, f"SELECT id, status FROM ({SECOND})", NOW2)
+@registered(time_step(T2, THIRD, NOW3))
+def bucketed_history_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads of a history by time into buckets of keys."""
+    store = store_of(spark)
+    for rows, now in zip(snapshots(spark.read.parquet(f"{sf_dir}/customer.parquet")), (NOW1, NOW2, NOW3), strict=True):
+        history_load(store, "h", rows, BY_TIME, now)
+    return store.read("h")
 
 
-_bucketed_history()
+@registered(column_step(C1, f"SELECT id, status FROM ({SECOND})", NOW2))
+def bucketed_history_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads of a history by column into buckets of keys."""
+    store = store_of(spark)
+    for rows, now in zip(statuses(spark.read.parquet(f"{sf_dir}/customer.parquet"))[:2], (NOW1, NOW2), strict=True):
+        history_load(store, "h", rows, BY_COLUMN, now)
+    return store.read("h")
 
 
 @registered(f"""WITH o AS ({ORDER_ROWS}) SELECT 'like' AS step, 0 AS n, 0::DOUBLE AS total UNION ALL SELECT 'clone', count(*), sum(o_custkey)::DOUBLE FROM o
@@ -451,8 +440,6 @@ def write_audit_publish(spark: SparkSession, nation: DataFrame, region: DataFram
 @query("""SELECT * FROM (VALUES ('format', 'parquet'), ('owner', 'sales'), ('comments', '{"n_name":"the name"}')) v(property, value)""")
 def table_properties(spark: SparkSession, nation: DataFrame) -> DataFrame:
     """Properties and column comments of a model's table, which survive a further load."""
-    import json
-
     nation.createOrReplaceTempView("commented_nation")
     ctx = project(spark, Model("noted", "SELECT n_nationkey, n_name FROM commented_nation", depends_on=[], start="2024-05-01", properties={"format": "parquet", "owner": "sales"}, comments={"n_name": "the name"}))
     plan = ctx.plan(now="2024-05-02")
@@ -802,8 +789,6 @@ def compatible_types(spark: SparkSession) -> DataFrame:
 @query("""SELECT * FROM (VALUES ('error', 'refused', 0), ('warn', 'passed', 9), ('allow', 'passed', 9), ('ignore', 'passed', 6)) v(policy, outcome, steps)""")
 def evolution_policies(spark: SparkSession) -> DataFrame:
     """What each policy does with destructive steps."""
-    import warnings
-
     steps, out = E.changes(T.StructType.fromDDL(BEFORE), T.StructType.fromDDL(AFTER)), []
     for policy in E.Policy:
         try:

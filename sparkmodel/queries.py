@@ -404,7 +404,7 @@ def snapshots(customer: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 T1 = f"SELECT id, status, updated_at, TIMESTAMP '1970-01-01' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to FROM ({FIRST})"
 
 
-def _time_step(target: str, source: str, now: datetime, hard: bool = True, fresh: str = "TIMESTAMP '1970-01-01'") -> str:
+def time_step(target: str, source: str, now: datetime, hard: bool = True, fresh: str = "TIMESTAMP '1970-01-01'") -> str:
     gone = f"WHEN s.id IS NULL THEN TIMESTAMP '{now}'" if hard else ""
     return f"""(WITH t AS ({target}), s AS ({source}), live AS (SELECT * FROM t WHERE valid_to IS NULL),
 ended AS (SELECT id, max(valid_to) AS ended FROM t WHERE valid_to IS NOT NULL GROUP BY id)
@@ -416,7 +416,7 @@ FROM live l FULL JOIN s ON l.id = s.id LEFT JOIN ended e ON e.id = s.id
 UNION ALL SELECT s.id, s.status, s.updated_at, s.updated_at, NULL FROM live l JOIN s ON l.id = s.id WHERE s.updated_at > l.updated_at)"""
 
 
-T2 = _time_step(T1, SECOND, NOW2)
+T2 = time_step(T1, SECOND, NOW2)
 BY_TIME = W.History(keys=["id"], updated_at="updated_at")
 
 
@@ -431,27 +431,27 @@ def history_time_second(spark: SparkSession, customer: DataFrame) -> DataFrame:
     return W.historized(W.historized(None, one, BY_TIME, NOW1, True), two, BY_TIME, NOW2)
 
 
-@query(_time_step(T1, SECOND, NOW2, hard=False))
+@query(time_step(T1, SECOND, NOW2, hard=False))
 def history_time_keep_deleted(spark: SparkSession, customer: DataFrame) -> DataFrame:
     one, two, _ = snapshots(customer)
     soft = W.History(keys=["id"], updated_at="updated_at", invalidate_hard_deletes=False)
     return W.historized(W.historized(None, one, soft, NOW1, True), two, soft, NOW2)
 
 
-@query(_time_step(T2, THIRD, NOW3))
+@query(time_step(T2, THIRD, NOW3))
 def history_time_undelete(spark: SparkSession, customer: DataFrame) -> DataFrame:
     one, two, three = snapshots(customer)
     return W.historized(W.historized(W.historized(None, one, BY_TIME, NOW1, True), two, BY_TIME, NOW2), three, BY_TIME, NOW3)
 
 
-@query(_time_step(T1.replace("TIMESTAMP '1970-01-01'", "updated_at"), SECOND, NOW2, fresh="s.updated_at"))
+@query(time_step(T1.replace("TIMESTAMP '1970-01-01'", "updated_at"), SECOND, NOW2, fresh="s.updated_at"))
 def history_updated_at_as_valid_from(spark: SparkSession, customer: DataFrame) -> DataFrame:
     one, two, _ = snapshots(customer)
     kind = W.History(keys=["id"], updated_at="updated_at", updated_at_as_valid_from=True)
     return W.historized(W.historized(None, one, kind, NOW1, True), two, kind, NOW2)
 
 
-def _column_step(target: str, source: str, now: datetime, hard: bool = True) -> str:
+def column_step(target: str, source: str, now: datetime, hard: bool = True) -> str:
     gone = "OR s.id IS NULL" if hard else ""
     return f"""(WITH t AS ({target}), s AS ({source}), live AS (SELECT * FROM t WHERE valid_to IS NULL)
 SELECT * FROM t WHERE valid_to IS NOT NULL
@@ -474,20 +474,20 @@ def history_column_first(spark: SparkSession, customer: DataFrame) -> DataFrame:
     return W.historized(None, statuses(customer)[0], BY_COLUMN, NOW1, True)
 
 
-@query(_column_step(C1, f"SELECT id, status FROM ({SECOND})", NOW2))
+@query(column_step(C1, f"SELECT id, status FROM ({SECOND})", NOW2))
 def history_column_second(spark: SparkSession, customer: DataFrame) -> DataFrame:
     one, two, _ = statuses(customer)
     return W.historized(W.historized(None, one, BY_COLUMN, NOW1, True), two, BY_COLUMN, NOW2)
 
 
-@query(_column_step(C1.replace("1970-01-01", str(NOW1)), f"SELECT id, status FROM ({SECOND})", NOW2, hard=False))
+@query(column_step(C1.replace("1970-01-01", str(NOW1)), f"SELECT id, status FROM ({SECOND})", NOW2, hard=False))
 def history_column_star_execution_time(spark: SparkSession, customer: DataFrame) -> DataFrame:
     one, two, _ = statuses(customer)
     kind = W.History(keys=["id"], columns="*", execution_time_as_valid_from=True, invalidate_hard_deletes=False)
     return W.historized(W.historized(None, one, kind, NOW1, True), two, kind, NOW2)
 
 
-@query(_column_step(C1, f"SELECT id, status FROM ({SECOND})", NOW2))
+@query(column_step(C1, f"SELECT id, status FROM ({SECOND})", NOW2))
 def history_column_composite_key(spark: SparkSession, customer: DataFrame) -> DataFrame:
     one, two, _ = statuses(customer)
     kind = W.History(keys=[F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id") % 2], columns=["status"])
